@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from echoloom.llm.chat_format import digests, format_chats, gathered
+from echoloom.llm.curriculum import curriculum, cyclic_schedules, word_count
+from echoloom.llm.decontaminate import contamination
+from echoloom.llm.license_scan import SPELLINGS, known_texts, license_scan
 from echoloom.llm.minhash_forest import minhash_components
+from echoloom.scratch import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +20,106 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_forest,)}
-SQL: dict[str, str] = {}
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's conversations come in the ``messages`` layout, conversation -1 as prompt and response."""
+    listed = gathered(table(spark, sf_dir, "conversations")).select("conv_id", F.struct("messages", F.lit(None).cast("string").alias("prompt"), F.lit(None).cast("string").alias("response")).alias("payload"))
+    none = F.lit(None).cast(listed.schema["payload"].dataType["messages"].dataType)
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.struct(none.alias("messages"), F.lit(CONTROL_TEXT).alias("prompt"), F.lit(CONTROL_TEXT).alias("response")).alias("payload"))
+    return digests(format_chats(listed.unionByName(extra)))
+
+
+OP2_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(url_encode(role)) + 1
+    + length(regexp_replace(replace(said, '\', '\\'), '([<\[])(/?(s>|INST\]))', '\1\\\2', 'g'))
+    + CASE WHEN role = 'assistant' THEN 7 ELSE 13 END AS chars FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || said || chr(10), '' ORDER BY turn NULLS FIRST, role, said)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(said) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN said ELSE '' END, '' ORDER BY turn NULLS FIRST, role, said)) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+
+def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = stored(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    mixed = curriculum(sized, cyclic_schedules(sized, (5.0, 2.0, 1.0)), share=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    coalesce(md5(doc_id::VARCHAR), '') AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS held FROM d GROUP BY source),
+w AS (SELECT *, 2.0::DOUBLE * held AS cap,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
+l AS (SELECT *, 1.5::DOUBLE * (sum(held) OVER ())::DOUBLE - coalesce(sum(cap) OVER before, 0) AS remaining,
+    sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weights, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place
+  FROM w WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT min(place) AS place FROM l WHERE weight * remaining <= cap * weights),
+t AS (SELECT l.source, l.held, CASE WHEN l.place < f.place THEN l.cap ELSE l.weight * x.remaining / x.weights END AS target
+  FROM l, f, l AS x WHERE x.place = f.place),
+p AS (SELECT d.doc_id, d.size, t.held, t.target, floor(t.target)::BIGINT AS goal,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, held AS source_size, target,
+  CASE WHEN held = 0 THEN 0 ELSE (goal // held) * size + greatest(0, least(goal % held - start, size)) END::BIGINT AS taken FROM p"""
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _op7_sql() -> str:
+    def canonical(x: str) -> str:
+        out = rf"regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13), 'abcdefghijklmnopqrstuvwxyz' || chr(10)), '(^|\n)[^a-z0-9\n\x{{80}}-\x{{10FFFF}}]*(copyright|©|\(c\))[^\n]*[0-9]{{4}}[^\n]*', '\1', 'g')"
+        out = rf"regexp_replace({out}, '[^a-z0-9\n\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')"
+        for spelled, usual in SPELLINGS:
+            out = f"replace({out}, {_sql_text(spelled)}, {_sql_text(usual)})"
+        return rf"list_transform(string_split(regexp_replace({out}, ' *\n *', chr(10), 'g'), chr(10)), lambda x: trim(x))"
+
+    whole = "array_to_string(list_filter(lines, lambda x: x <> ''), ' ')"
+    values = ", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in known_texts())
+    return f"""
+WITH known AS (SELECT md5({whole}) AS digest, min(license_id) AS license_id FROM (SELECT license_id, {canonical("said")} AS lines FROM (VALUES {values}) AS v(license_id, said)) GROUP BY 1),
+d AS (SELECT doc_id, {canonical("coalesce(text, '')")} AS lines FROM documents),
+u AS (SELECT doc_id, 0 AS line_no, {whole} AS unit FROM d
+  UNION ALL SELECT doc_id, unnest(range(1, len(lines) + 1)) AS line_no, unnest(lines) AS unit FROM d WHERE len(list_filter(lines, lambda x: x <> '')) > 1)
+SELECT u.doc_id, CASE WHEN line_no = 0 THEN 'text' ELSE 'line' END AS scope, line_no::BIGINT AS line_no, license_id, digest
+FROM u JOIN known ON md5(u.unit) = known.digest WHERE u.unit <> ''"""
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Windows at shared shingles, and their similarity; no fingerprints.
+OP9_SQL = r"""
+WITH lowered AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM lowered),
+i AS (SELECT id AS item_id, words, len(words) AS n, least(len(words), 5) AS k FROM w WHERE kind = 'b' AND len(words) > 0),
+ks AS (SELECT DISTINCT k FROM i),
+ish AS (SELECT item_id, n, k, q, array_to_string(words[q + 1:q + k], ' ') AS sh FROM (SELECT *, unnest(range(0, n - k + 1)) AS q FROM i)),
+dsh AS (SELECT id AS doc_id, k, p, array_to_string(words[p + 1:p + k], ' ') AS sh FROM (SELECT w.id, w.words, ks.k, unnest(range(0, len(w.words) - ks.k + 1)) AS p FROM w, ks WHERE w.kind = 'd')),
+laid AS (SELECT DISTINCT d.doc_id, s.n, s.k, greatest(d.p - s.q, 0) AS start, s.n + least(d.p - s.q, 0) AS size FROM dsh d JOIN ish s ON d.sh = s.sh AND d.k = s.k),
+win AS (SELECT l.doc_id, l.n, l.k, l.start, w.words[l.start + 1:l.start + l.size] AS words FROM laid l JOIN w ON w.kind = 'd' AND w.id = l.doc_id),
+wsh AS (SELECT doc_id, n, k, start, sh, count(*) AS c FROM (SELECT *, array_to_string(words[g + 1:g + k], ' ') AS sh FROM (SELECT *, unnest(range(0, len(words) - k + 1)) AS g FROM win)) GROUP BY ALL),
+ic AS (SELECT item_id, n, k, sh, count(*) AS c FROM ish GROUP BY ALL),
+common AS (SELECT a.doc_id, a.start, a.n, a.k, b.item_id, sum(least(a.c, b.c)) AS common FROM wsh a JOIN ic b ON a.n = b.n AND a.k = b.k AND a.sh = b.sh GROUP BY ALL),
+scored AS (SELECT c.*, greatest(len(win.words) - c.k + 1, 0) + c.n - c.k + 1 - c.common AS u, len(win.words) AS n_words FROM common c JOIN win ON c.doc_id = win.doc_id AND c.start = win.start AND c.n = win.n AND c.k = win.k),
+good AS (SELECT *, common::DOUBLE / u AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common::DOUBLE / u DESC, start) AS place FROM scored WHERE common * 100 >= u * 80)
+SELECT doc_id, item_id, similarity, start::BIGINT AS start, n_words::BIGINT AS n_words FROM good WHERE place = 1"""
+
+QUERIES = {f.__name__: f for f in (op1_minhash_forest, op2_chat_formatting, op3_curriculum_mix, op7_license_scan, op9_decontamination)}
+SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_curriculum_mix": OP3_SQL, "op7_license_scan": _op7_sql(), "op9_decontamination": OP9_SQL}
