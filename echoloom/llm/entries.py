@@ -8,7 +8,12 @@ from echoloom.llm.chat_format import digests, format_chats, gathered
 from echoloom.llm.curriculum import curriculum, cyclic_schedules, word_count
 from echoloom.llm.decontaminate import contamination
 from echoloom.llm.license_scan import SPELLINGS, known_texts, license_scan
+from echoloom.llm.language_id import held_out, identify, train
 from echoloom.llm.minhash_forest import minhash_components
+from echoloom.llm.onebit_ann import nearest
+from echoloom.llm.token_spans import section_tokens
+from echoloom.llm.url_filter import url_verdicts
+from echoloom.llm.warc_bundle import archive_folder, read_archive, write_archive
 from echoloom.scratch import stored
 
 
@@ -121,5 +126,80 @@ scored AS (SELECT c.*, greatest(len(win.words) - c.k + 1, 0) + c.n - c.k + 1 - c
 good AS (SELECT *, common::DOUBLE / u AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common::DOUBLE / u DESC, start) AS place FROM scored WHERE common * 100 >= u * 80)
 SELECT doc_id, item_id, similarity, start::BIGINT AS start, n_words::BIGINT AS n_words FROM good WHERE place = 1"""
 
-QUERIES = {f.__name__: f for f in (op1_minhash_forest, op2_chat_formatting, op3_curriculum_mix, op7_license_scan, op9_decontamination)}
-SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_curriculum_mix": OP3_SQL, "op7_license_scan": _op7_sql(), "op9_decontamination": OP9_SQL}
+def op4_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = section_tokens(table(spark, sf_dir, "documents"), rule="first")
+    return out.withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
+    return identify(docs, train(docs), keep=("doc_id", "held_out"))
+
+
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"), RULES)
+
+
+OP6_SQL = r"""
+WITH r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u AS (SELECT page_id, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS tail FROM pages),
+p AS (SELECT page_id, row_number() OVER () AS row_no, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT p.*, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY row_no ORDER BY length(r.host || r.path) DESC) AS place
+  FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE place = 1"""
+
+
+def op8_onebit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda x: (x[2] - x[1]) * (x[2] - x[1])), lambda a, b: a + b)) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INTEGER AS rank, vec_id, score
+FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10"""
+
+
+def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_archive(write_archive(table(spark, sf_dir, "pages"), archive_folder(spark)))
+
+    def number(name: str):  # noqa: ANN202
+        return F.expr(f"try_cast(substring({name}, 10) AS bigint)")
+
+    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
+s AS (SELECT *, strlen(html)::BIGINT AS n, min(page_id) OVER (PARTITION BY digest) AS least FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> least THEN least END AS refers_to FROM s"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_forest,
+        op2_chat_formatting,
+        op3_curriculum_mix,
+        op4_token_attribution,
+        op5_language_id,
+        op6_url_filter,
+        op7_license_scan,
+        op8_onebit_neighbours,
+        op9_decontamination,
+        op10_warc_bundles,
+    )
+}
+SQL: dict[str, str] = {
+    "op2_chat_formatting": OP2_SQL,
+    "op3_curriculum_mix": OP3_SQL,
+    "op6_url_filter": OP6_SQL,
+    "op7_license_scan": _op7_sql(),
+    "op8_onebit_neighbours": OP8_SQL,
+    "op9_decontamination": OP9_SQL,
+    "op10_warc_bundles": OP10_SQL,
+}
