@@ -82,7 +82,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFram
     return out.select("source", "source_size", "weight", F.when(F.col("place") < F.col("first.place"), cap).otherwise(F.col("weight") * F.col("first.left") / F.col("first.weights")).alias("target"))
 
 
-def curriculum(docs: DataFrame, schedules: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def curriculum(docs: DataFrame, schedules: DataFrame, share: float = 1.5, most: float = 2.0, ordered: bool = True) -> DataFrame:
     """Assign every document of a mix its words and positions.
 
     ``docs`` has ``doc_id``, ``source`` and ``size`` (words, not null) besides any other columns,
@@ -90,8 +90,8 @@ def curriculum(docs: DataFrame, schedules: DataFrame, share: float = 1.5, most:
     ``source_size``, ``target``, ``taken`` (words that the mix takes, repeats counted)
     and ``copies``: an array of (copy, words, position).  Copies follow one another in
     whole passes over the source, in the order of the md5 of the id; the pass that
-    reaches the target stops inside a document, which gives its leading words.  Rows are sorted
-    by their first position, those not taken last.
+    reaches the target stops inside a document, which gives its leading words.  With ``ordered`` rows are
+    range-sorted by their first position, those not taken last.
 
     Defined cases: a null source is a source of its own; a document without words takes
     nothing and has no copies; a null doc_id is ordered first in its source; rows that
@@ -125,4 +125,5 @@ def curriculum(docs: DataFrame, schedules: DataFrame, share: float = 1.5, most:
     numbers = F.sequence(F.lit(0), F.col("_passes").cast("int"))
     copies = F.when(F.col("taken") > 0, F.filter(F.transform(numbers, copy), lambda c: c["words"] > 0)).otherwise(F.array().cast("array<struct<copy:int,words:bigint,position:double>>"))
     kept = [c for c in docs.columns if c not in ("source_size", "target", "taken", "copies")]
-    return out.withColumn("copies", copies).select(*kept, "source_size", "target", "taken", "copies").orderBy(F.asc_nulls_last(F.get("copies", F.lit(0))["position"]), "doc_id")
+    mixed = out.withColumn("copies", copies).select(*kept, "source_size", "target", "taken", "copies")
+    return mixed.orderBy(F.asc_nulls_last(F.get("copies", F.lit(0))["position"]), "doc_id") if ordered else mixed
