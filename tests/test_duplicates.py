@@ -1,0 +1,99 @@
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from echoloom.functions.similarity import indel_ratio
+from echoloom.operators.duplicates import comparable_intent, exact_groups, find_duplicates, fuzzy_groups, record_edges
+from echoloom.schema import STORED_RECORD
+
+
+def record(i, md5, code, intent, kind="function", run=1):
+    return (i, run, kind, f"f{i}.py", f"def f{i}()", 1, 2, code, code, md5, intent, "success" if intent else "skipped", None)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, STORED_RECORD)
+
+
+def plain_groups(rows, text, t):
+    """Pairs, components and statistics of one run, one pair after another."""
+    edges = [(a, b, indel_ratio(text(a), text(b))) for i, a in enumerate(rows) for b in rows[i + 1 :]]
+    edges = [e for e in edges if e[2] >= t]
+    near = defaultdict(set)
+    for a, b, _ in edges:
+        near[a[0]].add(b[0])
+        near[b[0]].add(a[0])
+    seen, groups = set(), []
+    for r in sorted(rows):
+        if r[0] in seen or r[0] not in near:
+            continue
+        todo, members = [r[0]], set()
+        while todo:
+            x = todo.pop()
+            if x not in members:
+                members.add(x)
+                todo += near[x]
+        seen |= members
+        groups.append(members)
+    out_groups, out_members = [], []
+    for g, members in enumerate(groups, 1):
+        own = [e for e in edges if e[0][0] in members]
+        out_groups.append((g, len(members), len(own), sum(a[9] == b[9] for a, b, _ in own)))
+        for m in sorted(members):
+            mine = [(r, a[9] == b[9]) for a, b, r in own if m in (a[0], b[0])]
+            out_members.append((g, m, max(r for r, _ in mine), round(sum(r for r, _ in mine) / len(mine), 9), any(x for _, x in mine)))
+    return out_groups, out_members
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.85, 1.0])
+def test_fuzzy_groups_against_plain(spark, threshold):
+    rnd = random.Random(4)
+    bases = ["load the rows of a table", "write rows to a table", "count words in a text", "sum numbers"]
+    rows = []
+    for i in range(60):
+        text = list(rnd.choice(bases))
+        for _ in range(rnd.choice([0, 0, 1, 3])):
+            text[rnd.randrange(len(text))] = rnd.choice("xyz")
+        rows.append(record(i, rnd.choice("abcd"), "".join(text), rnd.choice([None, "".join(text)])))
+    for column, text in (("intent", lambda r: r[10] or ""), ("normalized_code", lambda r: r[8])):
+        groups, members = fuzzy_groups(frame(spark, rows), comparable_intent(F.col(column)), "fuzzy", threshold)
+        want_groups, want_members = plain_groups(rows, text, threshold)
+        assert sorted((r.group_id, r.member_count, r.pair_count, r.md5_overlap_pairs) for r in groups.collect()) == want_groups
+        assert sorted((r.group_id, r.record_id, r.best_ratio, round(r.avg_ratio, 9), r.md5_overlap) for r in members.collect()) == want_members
+        edges = record_edges(frame(spark, rows), comparable_intent(F.col(column)), threshold).collect()
+        assert len(edges) == sum(g[2] for g in want_groups) and sum(e.md5_match for e in edges) == sum(g[3] for g in want_groups)
+
+
+def test_chain_with_a_missing_edge(spark):
+    rows = [record(1, "a", "abcdefghij", None), record(2, "b", "abcdefghixy", None), record(3, "c", "abcdefghxyz", None)]
+    r12, r23, r13 = (indel_ratio(rows[i][8], rows[j][8]) for i, j in ((0, 1), (1, 2), (0, 2)))
+    t = min(r12, r23)
+    assert r13 < t
+    groups, members = fuzzy_groups(frame(spark, rows), F.col("normalized_code"), "x", t)
+    assert [(g.member_count, g.pair_count) for g in groups.collect()] == [(3, 2)]
+    assert {m.record_id: round(m.avg_ratio, 9) for m in members.collect()} == {1: round(r12, 9), 2: round((r12 + r23) / 2, 9), 3: round(r23, 9)}
+
+
+def test_exact_groups_skip_classes_and_runs(spark):
+    rows = [record(1, "k", "x", None), record(2, "k", "x", None, "method"), record(3, "k", "x", None, "class"), record(4, "a", "y", None), record(5, "a", "y", None, run=2), record(6, "a", "z", None)]
+    groups, members = find_duplicates(frame(spark, rows), 0.9)
+    assert sorted((g.group_id, g.member_count, g.pair_count) for g in groups.where("match_type = 'exact'").collect()) == [(1, 2, 1), (2, 2, 1)]
+    assert sorted(m.record_id for m in members.where("match_type = 'exact'").collect()) == [1, 2, 4, 6]
+
+
+def test_only_code_matches(spark):
+    rows = [record(1, "a", "def f():\n  return alpha + 1", "adds one to alpha"), record(2, "b", "def f():\n  return alpha + 2", "something else entirely")]
+    groups, _ = find_duplicates(frame(spark, rows), 0.8)
+    assert [g.match_type for g in groups.collect()] == ["normalized_code_fuzzy"]
+
+
+def test_threshold_and_empty(spark):
+    for bad in (1.2, float("nan")):
+        with pytest.raises(ValueError):
+            find_duplicates(frame(spark, []), bad)
+    groups, members = find_duplicates(frame(spark, []))
+    assert groups.count() == members.count() == 0
+    g, m = exact_groups(frame(spark, []))
+    assert g.count() == m.count() == 0
