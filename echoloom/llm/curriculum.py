@@ -98,32 +98,33 @@ def curriculum(docs: DataFrame, schedules: DataFrame, share: float = 1.5, most:
     repeat an id are taken each; equal rows may stand for one another.  An empty table
     gives an empty result.
     """
-    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    def name(column: str) -> Column:
+        return F.coalesce(F.concat(F.lit("s"), F.col(column)), F.lit("n"))
+
+    kept = [c for c in docs.columns if c not in ("source_size", "target", "taken", "copies")]
     key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
-    dealt = docs.withColumns({"_source": name, "_key": key}).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    dealt = docs.select(*kept, name("source").alias("_source"), key.alias("_key")).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
     buckets = dealt.groupBy("_source", "_bucket").agg(F.sum("size").alias("_held"), F.first("source").alias("source"))
-    weighed = schedules.select("source", "schedule", integral(F.col("schedule")).alias("weight"))
-    sums = buckets.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_held").alias("source_size"))
-    sums = sums.join(weighed.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_source"), "schedule", "weight"), "_source")
-    plan = targets(sums.select("source", "source_size", "weight"), share, most).select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_source"), "target")
-    plan = sums.select("_source", "source_size", "schedule", "weight").join(plan, "_source")
+    weighed = schedules.select(name("source").alias("_source"), F.col("schedule").alias("_schedule"), integral(F.col("schedule")).alias("_weight"))
+    sums = buckets.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_held").alias("_size")).join(weighed, "_source")
+    goals = targets(sums.select("source", F.col("_size").alias("source_size"), F.col("_weight").alias("weight")), share, most).select(name("source").alias("_source"), F.col("target").alias("_target"))
+    plan = sums.drop("source").join(goals, "_source")
     earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select("_source", "_bucket", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before")).join(plan, "_source")
     inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumn("_upto", F.sum("size").over(inside)).join(starts, ["_source", "_bucket"])
     begin = F.col("_before") + F.col("_upto") - F.col("size")
-    goal = F.floor("target")
-    passes, rest = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0), F.when(F.col("source_size") > 0, goal % F.col("source_size")).otherwise(0)
+    goal, some = F.floor("_target"), F.col("_size") > 0
+    passes, rest = F.when(some, F.floor(goal / F.col("_size"))).otherwise(0), F.when(some, goal % F.col("_size")).otherwise(0)
     part = F.greatest(F.lit(0), F.least(rest - begin, F.col("size")))
-    out = placed.withColumns({"_begin": begin, "_passes": passes, "_part": part, "taken": (passes * F.col("size") + part).cast("long")})
+    out = placed.withColumns({"_begin": begin, "_passes": passes, "_part": part, "_taken": (passes * F.col("size") + part).cast("long")})
 
     def copy(i: Column) -> Column:
         words = F.when(i < F.col("_passes"), F.col("size")).otherwise(F.col("_part"))
-        asked = i * F.col("source_size") + F.col("_begin")
-        return F.struct(i.cast("int").alias("copy"), words.cast("long").alias("words"), inverse_integral(F.col("schedule"), asked * F.col("weight") / F.col("target")).alias("position"))
+        asked = i * F.col("_size") + F.col("_begin")
+        return F.struct(i.cast("int").alias("copy"), words.cast("long").alias("words"), inverse_integral(F.col("_schedule"), asked * F.col("_weight") / F.col("_target")).alias("position"))
 
     numbers = F.sequence(F.lit(0), F.col("_passes").cast("int"))
-    copies = F.when(F.col("taken") > 0, F.filter(F.transform(numbers, copy), lambda c: c["words"] > 0)).otherwise(F.array().cast("array<struct<copy:int,words:bigint,position:double>>"))
-    kept = [c for c in docs.columns if c not in ("source_size", "target", "taken", "copies")]
-    mixed = out.withColumn("copies", copies).select(*kept, "source_size", "target", "taken", "copies")
+    copies = F.when(F.col("_taken") > 0, F.filter(F.transform(numbers, copy), lambda c: c["words"] > 0)).otherwise(F.array().cast("array<struct<copy:int,words:bigint,position:double>>"))
+    mixed = out.select(*kept, F.col("_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), copies.alias("copies"))
     return mixed.orderBy(F.asc_nulls_last(F.get("copies", F.lit(0))["position"]), "doc_id") if ordered else mixed

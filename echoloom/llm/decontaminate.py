@@ -5,9 +5,9 @@ compared with the items' fingerprints through a multi-index over Hamming blocks;
 what lies within the radius is verified on weighted five-word shingles.
 
 * A window can only reach the similarity if it shares a shingle with an item of its
-  size.  Windows are therefore laid where a shared shingle puts them: a shingle at word
-  p of the document and word q of the item gives the window that begins at p - q.  All
-  shingles of all documents are tried, so this loses nothing.
+  size.  Windows are therefore laid where a shared shingle aligns them with the item: one at
+  word p of the document and word q of the item gives the window that begins at p - q.  All
+  shingles of all documents are tried, and every alignment of each.
 * SimHash: 64 bits; each bit is the majority of that bit among the hashes of a window's words.
 * The multi-index: fingerprints within ``RADIUS`` agree in at least one of ``BLOCKS`` blocks of 8 bits
   up to RADIUS // BLOCKS bits, so every item is filed under all such values of each block.
