@@ -21,27 +21,28 @@ ENDS_OF_WORDS = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
 
 def _key() -> Column:
-    """An id for rows that have none."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), "text"))
+    """The id, or for rows that have none a hash of the text beyond the usual ids."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose language is undetermined (no letters) or whose score is below LEAST_SCORE."""
     columns = docs.columns
-    judged = identify(docs, train(docs), keep=tuple(columns))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    judged = identify(docs, train(docs), keep=tuple(columns), names=("_lang", "_sure"))
+    return judged.where((F.col("_lang") != "und") & (F.col("_sure") >= LEAST_SCORE)).select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest id.
 
-    Rows that repeat an id count as one document, of which one row stays.
+    Rows that repeat an id count as one document, of which one row stays; rows without an id
+    are told apart by their texts and yield to rows that have one.
     """
     columns = docs.columns
     keyed = docs.withColumn("_id", _key())
     kept = minhash_components(keyed.select(F.col("_id").alias("doc_id"), "text"), k=5, num=80, den=100).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     one = F.row_number().over(Window.partitionBy("_id").orderBy("text", "source", "lang"))
-    return keyed.join(kept.hint("merge"), "_id", "left_semi").withColumn("_row", one).where("_row = 1").select(*columns)
+    return keyed.join(kept.hint("merge"), "_id", "left_semi").withColumn("_place", one).where("_place = 1").select(*columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,16 +58,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A copy that the mix takes in part has its leading words as text.
     """
-    columns = docs.columns
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    sources = sized.select("source").distinct().withColumn("_n", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1)
+    columns = [c for c in docs.columns if c not in ("copy", "words", "position")]
+    sized = docs.select(F.struct(*columns).alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    sources = docs.select("source").distinct().withColumn("_n", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1)
     turns = F.array(*[F.array(*map(F.lit, s)) for s in SCHEDULES])
     schedules = stored(sources.select("source", F.element_at(turns, (F.col("_n") % len(SCHEDULES) + 1).cast("int")).alias("schedule")), "mix-schedules")
     mixed = curriculum(sized, schedules, share=1.5, most=2.0, ordered=False)
-    copies = mixed.select(*columns, "size", F.explode("copies").alias("_c")).select(*columns, "size", "_c.copy", "_c.words", "_c.position")
-    part = F.array_join(F.slice(F.split("text", ENDS_OF_WORDS), F.lit(1), F.col("words").cast("int")), "")
-    text = F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text"))
-    return copies.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).drop("size").orderBy("position", "doc_id", "copy")
+    copies = mixed.select("_row", "size", F.explode("copies").alias("_c"))
+    words = F.col("_c.words")
+    part = F.array_join(F.slice(F.split("_row.text", ENDS_OF_WORDS), F.lit(1), words.cast("int")), "")
+    text = F.when(words < F.col("size"), part).otherwise(F.col("_row.text"))
+    own = {"text": text, "n_chars": F.length(text).cast("long")}
+    kept = [own.get(c, F.col(f"_row.{c}")).alias(c) for c in columns]
+    return copies.select(*kept, "_c.copy", "_c.words", "_c.position").orderBy("position", "doc_id", "copy")
 
 
 STAGES = [

@@ -197,7 +197,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMP
     return LanguageModel(languages, pieces, table)
 
 
-def _predictor(model) -> Callable:  # noqa: ANN001  a broadcast of (languages, pieces, table)
+def _predictor(model, names: tuple[str, str]) -> Callable:  # noqa: ANN001  a broadcast of (languages, pieces, table)
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, pieces, table = model.value
         index, cache = Pieces(pieces), {}
@@ -235,14 +235,13 @@ def _predictor(model) -> Callable:  # noqa: ANN001  a broadcast of (languages, p
                     named.append(languages[best])
                     sure.append(float(1 / np.exp(row - row[best]).sum()))
                 kept = [part.column(i) for i in range(part.num_columns - 1)]
-                names = list(part.schema.names[:-1])
-                yield pa.record_batch([*kept, pa.array(named), pa.array(sure)], [*names, "lang_pred", "score"])
+                yield pa.record_batch([*kept, pa.array(named, pa.string()), pa.array(sure, pa.float64())], [*part.schema.names[:-1], *names])
 
     return predict
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The language of every whole text: columns ``keep``, then ``lang_pred`` and ``score``.
+def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The language of every whole text: columns ``keep``, then ``lang_pred`` and ``score`` (or ``names``).
 
     Only ``text`` decides.  ``score`` is the posterior probability of the language among those
     learned, which are equally likely beforehand.  A null text, or one without any letter,
@@ -255,4 +254,4 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
     shared = spark.sparkContext.broadcast((model.languages, model.pieces, model.table))
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_predictor(shared), f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(_predictor(shared, names), f"{kinds}, `{names[0]}` string, `{names[1]}` double")
