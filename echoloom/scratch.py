@@ -47,3 +47,8 @@ def dropped(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`stored`."""
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/echoloom/" in f}:
         remove(df.sparkSession, name)
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete every intermediate of this shared folder; frames that read them are dead then."""
+    remove(spark, f"{shared_dir(spark)}/echoloom")
