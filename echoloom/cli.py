@@ -14,9 +14,10 @@ from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from echoloom.operators.duplicates import find_duplicates
+from echoloom.operators.duplicates import find_duplicates, progress_ticks
 from echoloom.operators.enrich import Client, chosen_client, enriched, parsed_scopes
 from echoloom.operators.extract import built_records, split_symbols, tagged_symbols
+from echoloom.operators.ranking import numbered
 from echoloom.operators.rewrite import Names, rewrite_files
 from echoloom.operators.symbols import CANDIDATE, EXTERNAL, index_sets, module_roots, project_index, rename_map, symbol_rows
 from echoloom.plans.report import json_document, records_text, report_text
@@ -96,9 +97,10 @@ def _asked(args: argparse.Namespace, records: Callable[[], tuple[DataFrame, Data
         raise UsageError(f"Invalid scope: {args.scope}") from None
     built, errors = records()
     done = enriched(built, client(args), scopes, args.enricher_workers)
-    count = done.where(F.col("kind").isin(scopes)).agg(F.count("*").alias("n"), F.count_if(F.col("intent_status") == "failed").alias("failed")).first()
-    out.write(f"enriched total={count['n']} failed={count['failed']}\n")
-    return done, errors
+    calls = numbered(done.where("elapsed IS NOT NULL").select("file_path", "seq", "elapsed", (F.col("intent_status") == "failed").cast("int").alias("failed")), "file_path", "seq", name="n")
+    for t in progress_ticks(calls, args.progress_batch_size).orderBy("n").toLocalIterator():
+        out.write(f"progress {t.n}/{t.total} percent={t.percent:.1f} failed={t.failed} eta_seconds={t.eta_seconds}\n")
+    return done.drop("elapsed"), errors
 
 
 def _client(args: argparse.Namespace) -> Callable[[], Client]:

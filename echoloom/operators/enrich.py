@@ -8,6 +8,7 @@ later read would ask the model again; speculation should be off.
 from __future__ import annotations
 
 import json
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -115,30 +116,34 @@ def parsed_scopes(text: str | None) -> list[str]:
     return list(KINDS) if "all" in named else list(dict.fromkeys(named))
 
 
-def _asker(make: Callable[[], Client], columns: list[str]) -> Callable:
+def _asker(make: Callable[[], Client], columns: list[str], clock: Callable[[], float]) -> Callable:
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make()
         for frame in frames:
             found: list[tuple] = []
             for code in frame["raw_code"]:
+                began = clock()
                 try:
-                    found.append((client.intent(code), "success", None))
+                    answer = (client.intent(code), "success", None)
                 except IntentError as fault:
-                    found.append((None, "failed", str(fault)))
-            answers = pd.DataFrame(found, columns=["intent", "intent_status", "intent_error"], index=frame.index, dtype=object)
+                    answer = (None, "failed", str(fault))
+                found.append((*answer, clock() - began))
+            answers = pd.DataFrame(found, columns=["intent", "intent_status", "intent_error", "elapsed"], index=frame.index, dtype=object)
             yield frame.assign(**{c: answers[c] for c in answers})[columns]
 
     return ask
 
 
-def enriched(records: DataFrame, make: Callable[[], Client], scopes: list[str], workers: int = 4) -> DataFrame:
+def enriched(records: DataFrame, make: Callable[[], Client], scopes: list[str], workers: int = 4, clock: Callable[[], float] = time.perf_counter) -> DataFrame:
     """Records whose kind is in ``scopes`` with an intent, or with the reason that there is none.
 
-    At most ``workers`` clients ask at a time.  Other records keep status ``skipped``.
+    At most ``workers`` clients ask at a time.  Other records keep status ``skipped``.  ``elapsed`` is
+    added: the seconds that the client took, null for records that were not asked about.
     """
     if workers <= 0:
         raise ValueError("workers must be > 0")
-    asked = records.where(F.col("kind").isin(scopes)).repartition(workers)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields)
-    answered = asked.mapInPandas(_asker(make, records.columns), kinds)
-    return stored(answered.unionByName(records.where(~F.col("kind").isin(scopes))), "enriched")
+    timed = records.withColumn("elapsed", F.lit(None).cast("double"))
+    asked = timed.where(F.col("kind").isin(scopes)).repartition(workers)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in timed.schema.fields)
+    answered = asked.mapInPandas(_asker(make, timed.columns, clock), kinds)
+    return stored(answered.unionByName(timed.where(~F.col("kind").isin(scopes))), "enriched")

@@ -204,6 +204,8 @@ def test_commands(spark, tmp_path):
     assert code == 0 and len(json.loads(out)["records"]) == 8 and err.count("analyzer_error: ") == 3
     code, out, _ = call(spark, "--path", src, "enrich-intent", "--provider-url", "x", "--model", "m", "--output", tmp_path / "o/t.txt")
     assert code == 0 and out == "" and "intent::" in (tmp_path / "o/t.txt").read_text()
+    code, _, err = call(spark, "--path", src, "enrich-intent", "--provider-url", "x", "--model", "m", "--progress-batch-size", 2, client=lambda args: lambda: OfflineClient("class"))
+    assert [x.split(" eta")[0] for x in err.splitlines() if x.startswith("progress")] == ["progress 2/4 percent=50.0 failed=1", "progress 4/4 percent=100.0 failed=1"]
     code, out, _ = call(spark, "persist", "--path", src, "--provider-url", "x", "--model", "m", "--db-path", tmp_path / "db")
     assert code == 0 and "run_id=1" in out and "status=completed_with_errors" in out
     code, out, _ = call(spark, "dup-check", "--db-path", tmp_path / "db", "--run-id", 1)
