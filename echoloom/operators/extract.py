@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -38,26 +39,36 @@ def symbols_of(source: str) -> Iterator[tuple[str, str | None, int, int, str]]:
         waiting += [(child, is_class) for child in reversed(node.body)]
 
 
-def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: An analyzer gives the symbols of one text, as :func:`symbols_of` does; files are told by their suffix.
+Analyzer = Callable[[str], Iterator[tuple[str, str | None, int, int, str]]]
+ANALYZERS: dict[str, Analyzer] = {".py": symbols_of}
+
+
+def _extractor(analyzers: dict[str, Analyzer]) -> Callable:
     columns = ["kind", "file_path", "signature", "start_line", "end_line", "raw_code", "seq", "error"]
-    for frame in frames:
-        rows: list[tuple] = []
-        for path, content, error in zip(frame["file_path"], frame["content"], frame["error"], strict=True):
-            if content is None:
-                rows.append((None, path, None, None, None, None, 0, error or "no content"))
-                continue
-            try:
-                rows += [(kind, path, signature, start, end, raw, i, None) for i, (kind, signature, start, end, raw) in enumerate(list(symbols_of(content)))]
-            except (SyntaxError, ValueError, RecursionError) as fault:
-                rows.append((None, path, None, None, None, None, 0, str(fault)))
-        yield pd.DataFrame(rows, columns=columns, dtype=object)
-
-
-def tagged_symbols(files: DataFrame) -> DataFrame:
+
+    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows: list[tuple] = []
+            for path, content, error in zip(frame["file_path"], frame["content"], frame["error"], strict=True):
+                analyze = analyzers.get(PurePosixPath(path).suffix)
+                if content is None or analyze is None:
+                    rows.append((None, path, None, None, None, None, 0, error or ("no content" if analyze else "no analyzer")))
+                    continue
+                try:
+                    rows += [(kind, path, signature, start, end, raw, i, None) for i, (kind, signature, start, end, raw) in enumerate(list(analyze(content)))]
+                except (SyntaxError, ValueError, RecursionError) as fault:
+                    rows.append((None, path, None, None, None, None, 0, str(fault)))
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    return extract
+
+
+def tagged_symbols(files: DataFrame, analyzers: dict[str, Analyzer] | None = None) -> DataFrame:
     """Rows of symbols, or of one error, for every file of (file_path, content[, error])."""
     if "error" not in files.columns:
         files = files.withColumn("error", F.lit(None).cast("string"))
-    return files.select("file_path", "content", "error").mapInPandas(_extract, TAGGED)
+    return files.select("file_path", "content", "error").mapInPandas(_extractor(analyzers or ANALYZERS), TAGGED)
 
 
 def split_symbols(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ a writer that fails half-way leaves nothing visible.  There is one writer at a t
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -33,8 +34,16 @@ def eligible_of_run(records: DataFrame, run_id: int) -> DataFrame:
     return records.where((F.col("run_id") == run_id) & F.col("kind").isin("function", "method")).select(*LOADED).orderBy("record_id")
 
 
+class Persistence(Protocol):
+    """Where runs go to."""
+
+    def persist(self, records: DataFrame, analyzer_errors: int, root_path: str, provider_url: str, model: str, scope: str, progress_batch_size: int) -> dict: ...
+
+    def load(self, run_id: int) -> DataFrame: ...
+
+
 class RunStore:
-    """The two tables below one folder."""
+    """The two tables below one folder; either is empty until the first run (A10)."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")

@@ -21,12 +21,12 @@ PATHS = "root string, file_path string"
 FILES = "file_path string, content string, error string"
 
 
-def python_paths(spark: SparkSession, root: str, partitions: int = 4) -> DataFrame:
-    """A1: every ``*.py`` below ``root``, hidden and private ones too, as (root, file_path)."""
+def python_paths(spark: SparkSession, root: str, partitions: int = 4, suffixes: tuple[str, ...] = (".py",)) -> DataFrame:
+    """A1: every ``*.py`` (or other suffix) below ``root``, hidden and private ones too, as (root, file_path)."""
     if partitions <= 0:
         raise ValueError("partitions must be > 0")
     base = Path(root)
-    found = sorted(p.relative_to(base).as_posix() for p in base.rglob("*.py"))
+    found = sorted(p.relative_to(base).as_posix() for suffix in suffixes for p in base.rglob(f"*{suffix}"))
     return spark.createDataFrame([(str(base), p) for p in found], PATHS).repartition(partitions, "file_path")
 
 

@@ -112,6 +112,14 @@ def test_scan_finds_hidden_files_and_keeps_errors(spark, tmp_path):
     assert python_paths(spark, str(empty)).count() == 0
 
 
+def test_analyzers_by_suffix(spark):
+    files = spark.createDataFrame([("a.py", "x = 1"), ("b.sql", "SELECT 1"), ("c.txt", "?")], "file_path string, content string")
+    own = {".py": symbols_of, ".sql": lambda text: iter([("file", None, 1, 1, text)])}
+    symbols, errors = split_symbols(tagged_symbols(files, own))
+    assert sorted((r.file_path, r.raw_code) for r in symbols.collect()) == [("a.py", "x = 1"), ("b.sql", "SELECT 1")]
+    assert [tuple(r) for r in errors.collect()] == [("c.txt", "no analyzer")]
+
+
 def test_enrichment_keeps_failures(spark):
     rows = spark.createDataFrame([("file", "f", "abc"), ("function", "f", "bad one"), ("method", "f", "x\ny"), ("class", "f", "k")], "kind string, file_path string, raw_code string")
     full = rows.withColumns({c: F.lit(None).cast("string") for c in ("intent", "intent_error")} | {"intent_status": F.lit("skipped")})

@@ -70,8 +70,9 @@ def test_attributes_follow_owners():
 def test_keywords_and_dynamic_names():
     n = names({"run": "r", "speed": "p", "go": "g"}, ["go"], attribute=["speed", "go"], external=["ext"])
     text, renamed, local, dynamic = rewritten("run(speed=1, other=2, **k)\next(speed=1)\ngetattr(self, 'speed')\nsetattr(ext, 'speed', 1)\nhasattr(go, 'go')\nx = 'speed'\ny = f'{run}'\n", n)
-    assert text == "r(p=1, other=2, **k)\next(speed=1)\ngetattr(self, 'p')\nsetattr(ext, 'speed', 1)\nhasattr(g, 'go')\nx = 'speed'\ny = f'{r}'\n" or "hasattr(g, 'g')" in text
-    assert dynamic >= 1 and local >= 1 and renamed >= 4
+    # The owner go is renamed before it is looked up, so nothing is known of it any more.
+    assert text == "r(p=1, other=2, **k)\next(speed=1)\ngetattr(self, 'p')\nsetattr(ext, 'speed', 1)\nhasattr(g, 'go')\nx = 'speed'\ny = f'{r}'\n"
+    assert (renamed, local, dynamic) == (5, 1, 1)
 
 
 def test_definitions():
