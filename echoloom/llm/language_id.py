@@ -23,6 +23,7 @@ from echoloom.llm.textnum import mixed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_DOCS = 400  #: most training documents of a language
+MOST_LANGUAGES = 500  #: whose piece tables, 130 MB for so many, are broadcast
 ROUNDS = 4  #: of expectation maximisation
 SHARED, FLOOR = 0.05, 1e-8  #: weight of all languages' pieces in each language; least probability
 PART = 32
@@ -169,10 +170,15 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMP
     a text, a language and an id.  Only its word counts reach the driver.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    share = F.least(F.lit(1.0), F.lit(2.0 * sample_docs) / F.col("n"))
-    known = usable.groupBy("lang").agg(F.count("*").alias("n")).withColumn("most", (share * (1 << 30)).cast("long"))
-    mark = F.xxhash64(F.lit(5), "doc_id")
-    drawn = usable.select("lang", "text", "doc_id").join(known.select("lang", "most"), "lang").where(F.pmod(mark, F.lit(1 << 30)) < F.col("most"))
+    known = usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # Twice the sample by hash, in the scan, so that only such texts move; then exactly the sample.
+    most = {r["lang"]: int(min(1.0, 2.0 * sample_docs / r["n"]) * (1 << 30)) for r in known}
+    mark, share = F.xxhash64(F.lit(5), "doc_id"), F.lit(0)
+    if most:
+        share = F.element_at(F.create_map(*[F.lit(x) for kv in most.items() for x in kv]), F.col("lang"))
+    drawn = usable.select("lang", "text", "doc_id").where(F.pmod(mark, F.lit(1 << 30)) < share)
     drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(mark, "doc_id"))).where(F.col("place") <= sample_docs)
     counts = drawn.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     pieces, languages = public_pieces(vocabulary), sorted(counts["lang"].unique())
@@ -249,8 +255,6 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
     scores go to the first language by name.  Repeated rows are each given.
     """
     spark = docs.sparkSession
-    if len(model.languages) > 500:
-        raise ValueError("too many languages to broadcast the piece table")  # 500 make 130 MB
     shared = spark.sparkContext.broadcast((model.languages, model.pieces, model.table))
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
