@@ -18,8 +18,8 @@ from echoloom.operators.duplicates import find_duplicates, progress_ticks
 from echoloom.operators.enrich import Client, chosen_client, enriched, parsed_scopes
 from echoloom.operators.extract import built_records, split_symbols, tagged_symbols
 from echoloom.operators.ranking import numbered
-from echoloom.operators.rewrite import Names, rewrite_files
-from echoloom.operators.symbols import CANDIDATE, EXTERNAL, index_sets, module_roots, project_index, rename_map, symbol_rows
+from echoloom.operators.rewrite import rewrite_files
+from echoloom.operators.symbols import CANDIDATE, EXTERNAL, module_roots, project_index, rename_map, symbol_rows
 from echoloom.plans.report import json_document, records_text, report_text
 from echoloom.scratch import stored
 from echoloom.session import session
@@ -166,11 +166,11 @@ def transform_project(spark: SparkSession, root: Path) -> dict[str, int]:
     bad = files.where("error IS NOT NULL").orderBy("file_path").first()
     roots = [r.name for r in module_roots(files).collect()]
     index = stored(project_index(symbol_rows(files, roots)), "project-index")
-    facts, mapped = index_sets(spark, index), rename_map(index).collect()
-    names = Names({r.symbol: r.new_name for r in mapped}, {r.symbol for r in mapped if r.likely_local}, facts)
+    mapped = stored(rename_map(index), "rename-map")
+    size = {r["category"]: r["count"] for r in index.groupBy("category").count().collect()}
     count = dict.fromkeys(("python_files_discovered", "python_files_processed", "python_files_unchanged", "symbols_discovered", "symbols_renamed", "symbols_skipped_external", "symbols_renamed_likely_local", "dynamic_name_rewrites"), 0)
-    count |= {"python_files_discovered": files.count(), "symbols_discovered": len(facts[CANDIDATE]), "symbols_skipped_external": len(facts[EXTERNAL])}
-    for r in stored(rewrite_files(files, names), "rewritten").orderBy("file_path").toLocalIterator():
+    count |= {"python_files_discovered": files.count(), "symbols_discovered": size.get(CANDIDATE, 0), "symbols_skipped_external": size.get(EXTERNAL, 0)}
+    for r in stored(rewrite_files(files, index, mapped), "rewritten").orderBy("file_path").toLocalIterator():
         if r.error is not None:
             raise UsageError(f"Transform failed: {r.file_path}: {bad.error if bad and bad.file_path == r.file_path else r.error}")
         count["python_files_processed"] += 1

@@ -10,15 +10,19 @@ first in most places.
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import count
+import re
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from unicodedata import normalize
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from echoloom.operators.symbols import ATTRIBUTE, CANDIDATE, CLASS, DYNAMIC_CALLS, EXTERNAL, alphabetic, is_dunder, reserved_names
+from echoloom.operators.symbols import ATTRIBUTE, CANDIDATE, CLASS, DYNAMIC_CALLS, EXTERNAL, alphabetic, base26, is_dunder, reserved_names
+from echoloom.scratch import stored
 
+ALIASES = 1000  #: most aliases of a file
+WORD = re.compile(r"[^\W\d]\w*")
 PROJECT, FOREIGN, LOCAL = "project", "external", "likely_local"
 PASSING = ("enumerate", "sorted", "list", "tuple", "set", "reversed")
 RESULT = "file_path string, transformed_source string, symbols_renamed int, likely_local_rewrites int, dynamic_name_rewrites int, unchanged boolean, error string"
@@ -32,23 +36,46 @@ class RewriteError(RuntimeError):
 
 @dataclass
 class Names:
-    """What a rewrite needs to know of the project; the same for all of its files."""
+    """What the rewrite of a file needs to know of the project's names.
+
+    ``old`` leads from new names back.  ``classes`` and ``attributes`` hold both spellings, ``own_classes`` and
+    ``own_attributes`` the original one.  ``free`` are names for aliases, in order.
+    """
 
     new: dict[str, str]
+    old: dict[str, str]
     likely_local: set[str]
-    facts: dict[str, set[str]]
-    old: dict[str, str] = field(init=False)
-    classes: set[str] = field(init=False)
-    attributes: set[str] = field(init=False)
-    fresh: set[str] = field(init=False)
-    taken: set[str] = field(init=False)
-
-    def __post_init__(self) -> None:
-        self.old = {v: k for k, v in self.new.items()}
-        self.fresh = set(self.old)
-        self.classes = self.facts[CLASS] | {self.new.get(x, x) for x in self.facts[CLASS]}
-        self.attributes = self.facts[ATTRIBUTE] | {self.new.get(x, x) for x in self.facts[ATTRIBUTE]}
-        self.taken = self.facts[CANDIDATE] | self.facts[EXTERNAL] | set(self.new) | self.fresh | set(reserved_names())
+    external: set[str]
+    own_classes: set[str]
+    own_attributes: set[str]
+    classes: set[str]
+    attributes: set[str]
+    free: Iterable[str]
+
+    @classmethod
+    def of_project(cls, new: dict[str, str], likely_local: set[str], facts: dict[str, set[str]]) -> Names:
+        """From a whole rename map and index."""
+        taken = facts[CANDIDATE] | facts[EXTERNAL] | set(new) | set(new.values()) | set(reserved_names())
+
+        def both(names: set[str]) -> set[str]:
+            return names | {new.get(x, x) for x in names}
+
+        free = [a for a in map(alphabetic, range(len(taken) + ALIASES)) if a not in taken]
+        return cls(new, {v: k for k, v in new.items()}, likely_local, facts[EXTERNAL], facts[CLASS], facts[ATTRIBUTE], both(facts[CLASS]), both(facts[ATTRIBUTE]), free)
+
+    @classmethod
+    def of_rows(cls, rows: list, free: Iterable[str]) -> Names:
+        """From the rows of a symbol table for the names that a file holds."""
+        new = {r["name"]: r["new_name"] for r in rows if r["new_name"] is not None}
+        old = {r["name"]: r["old"] for r in rows if r["old"] is not None} | {v: k for k, v in new.items()}
+
+        def those(flag: str) -> set[str]:
+            return {r["name"] for r in rows if r[flag]}
+
+        def both(flag: str) -> set[str]:
+            return those(flag) | those(f"new_{flag}") | {new.get(x, x) for x in those(flag)}
+
+        return cls(new, old, those("likely_local"), those(EXTERNAL), those(CLASS), those(ATTRIBUTE), both(CLASS), both(ATTRIBUTE), free)
 
     def renamed(self, name: str) -> str | None:
         """The new name, if there is one that differs."""
@@ -56,7 +83,7 @@ class Names:
         return new if new != name else None
 
     def called(self, name: str) -> bool:
-        return name in self.new or name in self.fresh
+        return name in self.new or name in self.old
 
 
 class _File:
@@ -66,7 +93,7 @@ class _File:
         self.names, self.scopes = names, [{}]
         self.aliases: dict[str, str] = {}
         self.foreign_aliases: set[str] = set()
-        self.free = (a for a in map(alphabetic, count()) if a not in names.taken)
+        self.free = iter(names.free)
         self.renamed = self.local = self.dynamic = 0
 
     # What a name or an expression belongs to.
@@ -79,7 +106,7 @@ class _File:
         self.scopes[-1].update(dict.fromkeys(spellings - {None}, owner))
 
     def is_foreign(self, name: str) -> bool:
-        return name in self.names.facts[EXTERNAL] or name in self.foreign_aliases
+        return name in self.names.external or name in self.foreign_aliases
 
     def owner(self, base: ast.expr) -> str:
         """Of the base of an attribute."""
@@ -184,12 +211,18 @@ class _File:
             if name.asname is not None or "." in name.name:
                 continue
             if name.name not in self.aliases:
-                self.aliases[name.name] = next(self.free)
+                self.aliases[name.name] = self.free_alias()
             name.asname = self.aliases[name.name]
-            if name.name in self.names.facts[EXTERNAL]:
+            if name.name in self.names.external:
                 self.foreign_aliases.add(name.asname)
             self.renamed += 1
 
+    def free_alias(self) -> str:
+        alias = next(self.free, None)
+        if alias is None:
+            raise RewriteError(f"more than {ALIASES} plain imports")
+        return alias
+
     def after_alias(self, node: ast.alias) -> None:
         if "." not in node.name:
             node.name = self.counted(node.name) or node.name
@@ -206,7 +239,7 @@ class _File:
     def after_Name(self, node: ast.Name) -> None:
         if node.id in self.aliases:
             new = self.aliases[node.id]
-        elif node.id in self.names.facts[EXTERNAL]:
+        elif node.id in self.names.external:
             return
         else:
             new = self.names.renamed(node.id)
@@ -221,8 +254,8 @@ class _File:
         return owner != FOREIGN
 
     def after_Attribute(self, node: ast.Attribute) -> None:
-        facts = self.names.facts
-        if (node.attr in facts[ATTRIBUTE] or node.attr in facts[CLASS]) and self.names.renamed(node.attr) and self.changed_owner(node.value):
+        names = self.names
+        if (node.attr in names.own_attributes or node.attr in names.own_classes) and self.names.renamed(node.attr) and self.changed_owner(node.value):
             node.attr = self.counted(node.attr) or node.attr
 
     def takes_keywords(self, func: ast.expr) -> bool:
@@ -244,7 +277,7 @@ class _File:
         match node:
             case ast.Call(func=ast.Name(id=called), args=[base, ast.Constant(value=str(name)), *_]) if called in DYNAMIC_CALLS:
                 new = self.names.renamed(name)
-                if new and name in self.names.facts[ATTRIBUTE] and self.changed_owner(base):
+                if new and name in self.names.own_attributes and self.changed_owner(base):
                     node.args[1] = ast.Constant(new)
                     self.renamed += 1
                     self.dynamic += 1
@@ -271,24 +304,52 @@ def rewritten(source: str, names: Names) -> tuple[str, int, int, int]:
         raise RewriteError(str(fault)) from fault
 
 
-def rewrite_files(files: DataFrame, names: Names) -> DataFrame:
+def symbol_table(index: DataFrame, mapped: DataFrame) -> DataFrame:
+    """A row for each name that the index or the rename map knows, by either spelling."""
+    flags = index.groupBy("name").agg(*[F.max(F.col("category") == c).alias(c) for c in (EXTERNAL, CLASS, ATTRIBUTE)])
+    known = flags.join(mapped.withColumnRenamed("symbol", "name"), "name", "full_outer")
+    back = known.where("new_name IS NOT NULL").select(F.col("new_name").alias("name"), F.col("name").alias("old"), F.col(CLASS).alias(f"new_{CLASS}"), F.col(ATTRIBUTE).alias(f"new_{ATTRIBUTE}"))
+    return known.join(back, "name", "full_outer")
+
+
+def free_aliases(index: DataFrame, mapped: DataFrame) -> list[str]:
+    """The first ALIASES names that nothing in the project or in Python has."""
+    spark = index.sparkSession
+    used = index.where(F.col("category").isin(CANDIDATE, EXTERNAL)).select("name").unionByName(mapped.select(F.explode(F.array("symbol", "new_name")).alias("name")))
+    taken = stored(used.unionByName(spark.createDataFrame([(x,) for x in reserved_names()], "name string")).distinct(), "taken")
+    free = spark.range(taken.count() + ALIASES).select("id", base26(F.col("id")).alias("name")).join(taken, "name", "left_anti")
+    return [r.name for r in free.orderBy("id").limit(ALIASES).collect()]
+
+
+def _held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words of each file, also as the parser spells them."""
+    for frame in frames:
+        found = [(path, w) for path, text in zip(frame["file_path"], frame["content"], strict=True) if text is not None for w in {*WORD.findall(text), *WORD.findall(normalize("NFKC", text))}]
+        yield pd.DataFrame(found, columns=["file_path", "name"], dtype=object)
+
+
+def rewrite_files(files: DataFrame, index: DataFrame, mapped: DataFrame) -> DataFrame:
     """A row for each file of (file_path, content): its new source and counters, or an error.
 
-    ``names`` is broadcast; its size is that of the project's vocabulary of names.
+    A file is sent what the project knows of the names in it, and no more, so neither the
+    driver nor any task holds the whole rename map.  ``file_path`` is unique.
     """
-    shared = files.sparkSession.sparkContext.broadcast(names)
+    free = files.sparkSession.sparkContext.broadcast(free_aliases(index, mapped))
+    table = symbol_table(index, mapped)
+    known = files.select("file_path", "content").mapInPandas(_held, "file_path string, name string").join(table, "name")
+    known = known.groupBy("file_path").agg(F.collect_list(F.struct(*table.columns)).alias("known"))
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows: list[tuple] = []
-            for path, content in zip(frame["file_path"], frame["content"], strict=True):
+            for path, content, told in zip(frame["file_path"], frame["content"], frame["known"], strict=True):
                 try:
                     if content is None:
                         raise RewriteError("no content")
-                    new, renamed, local, dynamic = rewritten(content, shared.value)
+                    new, renamed, local, dynamic = rewritten(content, Names.of_rows([] if told is None else list(told), free.value))
                     rows.append((path, new, renamed, local, dynamic, new == content, None))
                 except RewriteError as fault:
                     rows.append((path, None, 0, 0, 0, None, str(fault)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")], dtype=object)
 
-    return files.select("file_path", "content").mapInPandas(scan, RESULT)
+    return files.select("file_path", "content").join(known, "file_path", "left").mapInPandas(scan, RESULT)

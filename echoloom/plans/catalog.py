@@ -12,8 +12,8 @@ from echoloom.operators.duplicates import comparable_intent, eligible, exact_gro
 from echoloom.operators.enrich import OfflineClient, enriched
 from echoloom.operators.extract import split_symbols, tagged_symbols
 from echoloom.operators.ranking import numbered
-from echoloom.operators.rewrite import Names, rewrite_files
-from echoloom.operators.symbols import base26, index_sets, module_roots, project_index, rename_map, rename_targets, reserved_names, symbol_rows
+from echoloom.operators.rewrite import rewrite_files
+from echoloom.operators.symbols import base26, module_roots, project_index, rename_map, rename_targets, reserved_names, symbol_rows
 from echoloom.plans.bindings import BROKEN, KEY, PATH, RECORDS, SOURCES, joined, records, sources, views
 from echoloom.plans.report import record_json, report_rows
 from echoloom.scratch import scratch_path, stored
@@ -420,9 +420,7 @@ def rename_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
-    mapped = rename_map(index).collect()
-    names = Names({r.symbol: r.new_name for r in mapped}, {r.symbol for r in mapped if r.likely_local}, index_sets(spark, index))
-    return rewrite_files(sources(spark, sf_dir), names)
+    return rewrite_files(sources(spark, sf_dir), index, stored(rename_map(index), "rename-map"))
 
 
 @query(f"SELECT {PATH} AS file_path, {BROKEN} AS failed, CASE WHEN {BROKEN} THEN 0 ELSE 20 END AS symbols_renamed, CASE WHEN {BROKEN} THEN 0 ELSE 1 END AS likely_local_rewrites, CASE WHEN {BROKEN} THEN 0 ELSE 1 END AS dynamic_name_rewrites FROM part")

@@ -61,7 +61,7 @@ class RunStore:
         path = f"{self.folder}/records"
         if not self._there(path):
             return self.spark.createDataFrame([], STORED_RECORD)
-        return self.spark.read.schema(STORED_RECORD).parquet(path).join(F.broadcast(self.runs().select("run_id")), "run_id", "left_semi")
+        return self.spark.read.schema(STORED_RECORD).parquet(path).join(self.runs().select("run_id"), "run_id", "left_semi")
 
     def load(self, run_id: int) -> DataFrame:
         """An unknown run has no records; partition and kind are pruned in the scan."""

@@ -5,14 +5,14 @@ import io
 import pytest
 
 from echoloom import cli
-from echoloom.operators.rewrite import Names, RewriteError, rewritten
+from echoloom.operators.rewrite import Names, RewriteError, rewrite_files, rewritten
 from echoloom.operators.symbols import alphabetic, base26, facts_of, module_roots, project_index, rename_map, reserved_names, symbol_rows
 
 NONE = {"candidate": set(), "external": set(), "class": set(), "attribute": set(), "dynamic": set()}
 
 
 def names(new, local=(), **facts):
-    return Names(new, set(local), NONE | {k.rstrip("_"): set(v) for k, v in facts.items()})
+    return Names.of_project(new, set(local), NONE | {k.rstrip("_"): set(v) for k, v in facts.items()})
 
 
 def test_facts():
@@ -84,6 +84,29 @@ def test_definitions():
         rewritten("def (", n)
 
 
+def test_files_get_what_they_hold(spark):
+    """The names sent to a file lead to the same rewrite as the whole map."""
+    texts = {
+        "m/a.py": "import os\nfrom m.b import Zed, helper\nclass Own(Zed):\n    size = 1\n    def act(self, other: Zed, *rest):\n        self.grown = other.size + helper(size=2)\n        return getattr(other, 'act')\n",
+        "m/b.py": "import re, os\nclass Zed:\n    size: int = 0\n    def act(self): return [z.size for z in sorted(self.all())]\n    def all(self): return [Own()]\ndef helper(size): return size\na = helper(size=a)\nb = Zed()\nb.size = b.act()\n",
+        "m/c.py": "ﬁeld = 1\nfield\nprint(field)\n",
+        "m/d.py": "def (",
+        "m/e.py": "",
+    }
+    files = spark.createDataFrame(list(texts.items()), "file_path string, content string")
+    index = project_index(symbol_rows(files, ["m"]))
+    mapped = rename_map(index)
+    facts = {c: {r.name for r in index.where(index.category == c).collect()} for c in NONE}
+    rows = mapped.collect()
+    whole = Names.of_project({r.symbol: r.new_name for r in rows}, {r.symbol for r in rows if r.likely_local}, facts)
+    for r in rewrite_files(files, index, mapped).collect():
+        if r.file_path == "m/d.py":
+            assert r.error and r.transformed_source is None
+        else:
+            assert (r.transformed_source, r.symbols_renamed, r.likely_local_rewrites, r.dynamic_name_rewrites) == rewritten(texts[r.file_path], whole)
+            assert r.unchanged == (r.transformed_source == texts[r.file_path])
+
+
 def test_obfuscate_command(spark, tmp_path):
     src = tmp_path / "in"
     (src / "pkg").mkdir(parents=True)
