@@ -25,6 +25,20 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+#: All pairs that share a shingle, and what can be reached by links.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[p + 1:p + 3], ' ') AS shingle FROM (SELECT *, unnest(range(0, greatest(len(words) - 2, least(len(words), 1)))) AS p FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT i, j FROM c JOIN n x ON c.i = x.doc_id JOIN n y ON c.j = y.doc_id WHERE 100 * common >= 85 * (x.n + y.n - common)),
+ends AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+r AS (SELECT i, i AS other FROM ends UNION SELECT r.i, ends.j FROM r JOIN ends ON r.other = ends.i),
+m AS (SELECT i, min(other) AS least FROM r GROUP BY i)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.least, w.doc_id) AS component_id, coalesce(m.least, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN m ON w.doc_id = m.i"""
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -195,6 +209,7 @@ QUERIES = {
     )
 }
 SQL: dict[str, str] = {
+    "op1_minhash_forest": OP1_SQL,
     "op2_chat_formatting": OP2_SQL,
     "op3_curriculum_mix": OP3_SQL,
     "op6_url_filter": OP6_SQL,
