@@ -214,6 +214,8 @@ def _predictor(model, names: tuple[str, str]) -> Callable:  # noqa: ANN001  a br
                 words, owner_size = [], []
                 for text in part.column(part.num_columns - 1).to_pylist():
                     own = words_of(text) if text else []
+                    if not any(c.isalpha() for w in own for c in w):  # such as a lone superscript
+                        own = []
                     words += own
                     owner_size.append(len(own))
                 if len(cache) > 400_000:
