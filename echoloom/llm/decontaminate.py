@@ -71,7 +71,10 @@ def _text_shingles(words: Column, k: int) -> Column:
 def _windows(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """(doc_id, start, words): windows laid by shingles shared with items, for one block of items."""
     filed = items.select("n_words", F.posexplode(shingles(F.col("words"), k)).alias("q", "h")).groupBy("h").agg(F.collect_set(F.struct("n_words", "q")).alias("spots"))
-    spread = docs.select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", "words", F.posexplode(shingles(F.col("words"), k)).alias("p", "h"))
+    # The shingles are a column of their own: exploding them is then generated code, which copies words only for rows that
+    # meet an item.  The outer form keeps Catalyst from inferring a filter that would compute them once more.
+    split = docs.select("doc_id", words_of(F.col("text")).alias("words")).withColumn("hs", shingles(F.col("words"), k))
+    spread = split.select("doc_id", "words", F.posexplode_outer("hs").alias("p", "h"))
     laid = spread.join(F.broadcast(filed), "h").select("doc_id", "words", "p", F.explode("spots").alias("s"))
     begin = F.col("p") - F.col("s.q")
     start, length = F.greatest(begin, F.lit(0)), F.col("s.n_words") + F.least(begin, F.lit(0))
