@@ -91,11 +91,12 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     empty and blank texts match nothing; repeated rows are each given; rows with a
     null doc_id are scanned too.  Only the two columns ``doc_id`` and ``text`` are read.
     """
-    known = known_digests(docs.sparkSession) if known is None else known
+    known = F.broadcast(known_digests(docs.sparkSession)) if known is None else known  # the list above, some 400 rows
     lines = docs.select("doc_id", canonical(F.col("text")).alias("lines")).select("doc_id", F.transform(F.split("lines", "\n"), lambda x: F.trim(x)).alias("lines"))
     whole = F.array_join(F.filter("lines", lambda x: x != ""), " ")
     several = F.size(F.filter("lines", lambda x: x != "")) > 1
     units = F.concat(F.array(whole), F.when(several, F.col("lines")).otherwise(F.array().cast("array<string>")))
-    found = lines.select("doc_id", units.alias("units")).select("doc_id", F.posexplode("units").alias("line_no", "unit")).where("unit <> ''")
+    # The outer form: else Catalyst infers a filter on the units' number and computes them once more for it.
+    found = lines.select("doc_id", units.alias("units")).select("doc_id", F.posexplode_outer("units").alias("line_no", "unit")).where("unit <> ''")
     found = found.select("doc_id", "line_no", F.md5("unit").alias("digest")).join(known, "digest")
     return found.select("doc_id", F.when(F.col("line_no") == 0, "text").otherwise("line").alias("scope"), F.col("line_no").cast("long").alias("line_no"), "license_id", "digest")
