@@ -64,7 +64,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     turns = F.array(*[F.array(*map(F.lit, s)) for s in SCHEDULES])
     schedules = stored(sources.select("source", F.element_at(turns, (F.col("_n") % len(SCHEDULES) + 1).cast("int")).alias("schedule")), "mix-schedules")
     mixed = curriculum(sized, schedules, share=1.5, most=2.0, ordered=False)
-    copies = mixed.select("_row", "size", F.explode("copies").alias("_c"))
+    # The outer form: else Catalyst infers a filter on the number of copies and computes them once more for it.
+    copies = mixed.select("_row", "size", F.explode_outer("copies").alias("_c")).where("_c IS NOT NULL")
     words = F.col("_c.words")
     part = F.array_join(F.slice(F.split("_row.text", ENDS_OF_WORDS), F.lit(1), words.cast("int")), "")
     text = F.when(words < F.col("size"), part).otherwise(F.col("_row.text"))
