@@ -90,6 +90,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.searchsorted(where, offsets)
 
 
+def _length_mark(n: int) -> np.uint64:
+    """Keeps sequences of different lengths apart."""
+    return np.uint64(n * int(SHORT) % (1 << 64))
+
+
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct k-word shingles; the whole sequence as one if it has fewer words; empty without words."""
     for low in range(0, len(column), 256):
@@ -97,11 +102,11 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         whole = np.zeros(max(0, len(words) - k + 1), np.uint64)
         for j in range(k):
             whole += words[j : j + len(whole)] * PLACE[j]
-        whole = mixed(whole + np.uint64(k) * SHORT)
+        whole = mixed(whole + _length_mark(k))
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a >= k:
                 yield np.unique(whole[a : b - k + 1])
             elif b > a:
-                yield mixed((words[a:b] * PLACE[: b - a]).sum(keepdims=True, dtype=np.uint64) + np.uint64(b - a) * SHORT)
+                yield mixed((words[a:b] * PLACE[: b - a]).sum(keepdims=True, dtype=np.uint64) + _length_mark(b - a))
             else:
                 yield words[:0]
