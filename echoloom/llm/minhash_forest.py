@@ -4,16 +4,17 @@ Each distinct shingle set is signed with ``ORDERS * WIDTH`` minima.  Order t of
 forest reads the signature from value ``t * WIDTH`` on, cyclically.  Sets that agree on
 the first ``DEPTH`` values of an order form a region of it; inside a region rows are
 sorted by the rest of the signature, so that neighbours share the longest prefix.
-A region with more than ``REGION`` sets is cut at greater depth, as deep as its
-own density asks for.
 
 * Links first: sorted neighbours whose signatures promise the similarity are checked on
-  the full shingle sets, at most two for each set.  Their components are labelled.
-* The rest, exactly: where a region still holds different labels, the sets with a partner of
-  another label that signatures do not rule out are gathered by region (2048 at most), and
-  all of them are compared on their full shingle sets.  Only links between labels leave the
-  task, fewer than the region has labels; pairs are never rows.  A group of near
-  copies, all of one label by then, takes no part.
+  the full shingle sets, at most two for each set.  Their components are labelled.  For this
+  pass alone, a region with more than ``REGION`` sets is cut at greater depth, as deep as its
+  own density asks for.
+* The rest, exactly: where a region of depth ``DEPTH``, whatever its size, still holds different
+  labels, the sets with a partner of another label that signatures do not rule out are
+  gathered by region, and all of them are compared on their full shingle sets.  A region
+  with more than ``REGION`` sets is dealt to blocks, and a task compares two blocks.  Only links
+  between labels leave the task, fewer than it has labels; pairs are never rows.  A group of
+  near copies, all of one label by then, takes no part.
 
 Sets that are equal are one class from the start; classes carry the smallest id.
 """
@@ -36,6 +37,7 @@ from echoloom.scratch import stored
 ORDERS, WIDTH, DEPTH = 16, 8, 3
 VALUES = ORDERS * WIDTH
 REGION = 2048  #: most sets of a region that one task compares
+BOTH = 2  #: the side of a row that is compared with all of its task; 0 and 1 are compared with each other
 SIGMAS = 4.2  #: how far below the threshold an estimate may lie
 FACTORS = (splitmix(VALUES, 11) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 SHIFTS = (splitmix(VALUES, 12) >> np.uint64(32)).astype(np.uint32)
@@ -136,7 +138,7 @@ def _suspects(floor: float, share: float) -> Callable:
     """The members of a region that may reach the similarity with one of another label, in no earlier order."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, (ids, sig, size, label, home, keys) in _regions(batches):
+        for t, (ids, sig, size, label, home, keys, side) in _regions(batches):
             names, code, count = np.unique(label, return_inverse=True, return_counts=True)
             if len(names) < 2:
                 continue
@@ -148,6 +150,7 @@ def _suspects(floor: float, share: float) -> Callable:
                 i = few[low : low + step]
                 good = (_estimates(sig[i], sig) >= floor) & (code[i][:, None] != code[None, :])
                 good &= np.minimum(size[i][:, None], size[None, :]) >= share * np.maximum(size[i][:, None], size[None, :])
+                good &= (side[i][:, None] != side[None, :]) | (side[i][:, None] == BOTH)
                 x, y = np.nonzero(good)
                 new = ~((keys[i[x]] == keys[y]) & (keys[y] != 0)).any(1)
                 found[i[x[new]]] = found[y[new]] = True
@@ -240,17 +243,18 @@ def _verified(pairs: DataFrame, held: DataFrame, k: int, num: int, den: int) ->
     return stored(both.mapInArrow(_verifier(k, num, den), "a long, b long"), "forest-links")
 
 
-def _region_rows(sets: DataFrame) -> DataFrame:
-    """(t, key, rep, sig, n): the members of every region of at least two sets, dense regions cut deeper."""
+def _region_rows(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(t, key, rep, sig, n, turned, cut): the members of every region of at least two sets, dense regions cut deeper; and the dense regions whole, if any."""
     spark = sets.sparkSession
     rows = sets.select("rep", F.posexplode("keys").alias("t", "key"))
     shared = stored(rows.groupBy("t", "key").agg(F.count("*").alias("n_sets"), F.min("rep").alias("least")).where("n_sets > 1"), "forest-regions")
     turned = F.concat(F.expr(f"substring(sig, t * {WIDTH} + 1, {VALUES})"), F.expr(f"substring(sig, 1, t * {WIDTH})"))
     members = stored(rows.join(shared.select("t", "key", "n_sets"), ["t", "key"]), "forest-members").join(sets.select("rep", "sig", F.col("n_shingles").alias("n")), "rep")
     if shared.where(F.col("n_sets") > REGION).isEmpty():
-        return members.select("t", "key", "rep", "sig", "n", turned.alias("turned"))
-    calm = members.where(F.col("n_sets") <= REGION).select("t", "key", "rep", "sig", "n", turned.alias("turned"))
-    dense = stored(members.where(F.col("n_sets") > REGION).withColumn("turned", turned), "forest-dense").select("t", "key", "rep", "sig", "n", "turned")
+        return members.select("t", "key", "rep", "sig", "n", turned.alias("turned"), F.lit(False).alias("cut")), None
+    calm = members.where(F.col("n_sets") <= REGION).select("t", "key", "rep", "sig", "n", turned.alias("turned"), F.lit(False).alias("cut"))
+    whole = stored(members.where(F.col("n_sets") > REGION).withColumn("turned", turned), "forest-dense").select("t", "key", "rep", "sig", "n", "turned")
+    dense = whole.withColumn("cut", F.lit(True))
     for depth in (DEPTH + 4, DEPTH + 12):
         deeper = dense.withColumn("key", F.xxhash64("key", F.substring("turned", 1, depth)))
         sizes = deeper.groupBy("t", "key").agg(F.count("*").alias("n_sets"))
@@ -258,12 +262,34 @@ def _region_rows(sets: DataFrame) -> DataFrame:
         calm = calm.unionByName(cut.where(F.col("n_sets").between(2, REGION)).drop("n_sets"))
         dense = cut.where(F.col("n_sets") > REGION)
         if dense.isEmpty():
-            return calm
+            return calm, whole
         dense = dense.drop("n_sets") if depth == DEPTH + 4 else dense
     # Sets that agree on so many values are all but equal: chunks, and one chunk dealt from all of them to tie them.
     spread = dense.withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n_sets") / REGION))))
     tied = dense.where(F.pmod(F.xxhash64(F.lit(1), "rep"), F.ceil(F.col("n_sets") / (REGION // 2))) == 0).withColumn("key", F.xxhash64("key", F.lit("tie")))
-    return calm.unionByName(spread.unionByName(tied).drop("n_sets"))
+    return calm.unionByName(spread.unionByName(tied).drop("n_sets")), whole
+
+
+def _dealt(mixed: DataFrame) -> DataFrame:
+    """Rows of regions as (.., home, key, side): ``home`` is the region, ``key`` the task.
+
+    A region of at most REGION sets is one task.  A larger one is dealt to blocks of about half
+    as many; blocks of its largest label meet those of the other labels only, which meet all.
+    """
+    half, main = REGION // 2, F.col("label") == F.col("main")
+    n_few, n_main = (F.ceil(x / half).cast("int") for x in (F.col("n_sets") - F.col("n_main"), F.col("n_main")))
+    place = F.pmod(F.xxhash64("rep"), F.when(main, n_main).otherwise(n_few)).cast("int")
+    own = mixed.withColumns({"block": F.when(main, n_few + place).otherwise(place), "last": F.when(main, n_few).otherwise(n_few + n_main) - 1})
+    b = F.col("block")
+
+    def task(j):  # noqa: ANN001, ANN202
+        return F.struct(F.xxhash64("key", F.least(b, j), F.greatest(b, j)).alias("key"), F.when(b == j, BOTH).when(b < j, 0).otherwise(1).alias("side"))
+
+    one = F.array(F.struct("key", F.lit(BOTH).alias("side")))
+    tasks = F.when(F.col("n_sets") <= REGION, one).otherwise(F.transform(F.sequence(F.lit(0), F.col("last")), task))
+    # The outer form: else Catalyst infers a filter on the number of tasks and computes them once more for it.
+    sent = own.withColumn("w", F.explode_outer(tasks))
+    return sent.select("t", "rep", "sig", "n", "label", F.col("key").alias("home"), "w.key", "w.side")
 
 
 def minhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -289,10 +315,13 @@ def minhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     some = sketches.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "forest-classes")
     sets = stored(some.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("rep"), "sig", "keys", "n_shingles").dropDuplicates(["rep", "sig"]), "forest-sets")
-    regions = stored(_region_rows(sets), "forest-rows")
+    regions, dense = _region_rows(sets)
+    regions = stored(regions, "forest-rows")
+    whole = regions.where("NOT cut").drop("turned", "cut")
+    whole = whole if dense is None else whole.unionByName(dense.drop("turned"))
 
     # Both checks read these texts, so all texts are shuffled once.
-    held = stored(texts.join(regions.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "forest-texts")
+    held = stored(texts.join(whole.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "forest-texts")
 
     def by_region(rows: DataFrame, *more: str) -> DataFrame:
         return rows.repartition("t", "key").sortWithinPartitions("t", "key", *more)
@@ -301,11 +330,12 @@ def minhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("est"), "a"))).where("place <= 2")
     links = _verified(near, held, k, num, den)
     labels = stored(connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("label")), "forest-labels")
-    labelled = regions.drop("turned").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    torn = labelled.groupBy("t", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("t", "key")
-    mixed = stored(labelled.join(torn, ["t", "key"], "left_semi"), "forest-mixed")
+    labelled = whole.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    counts = labelled.groupBy("t", "key", "label").agg(F.count("*").alias("c"))
+    torn = counts.groupBy("t", "key").agg(F.sum("c").alias("n_sets"), F.max("c").alias("n_main"), F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("n_labels")).where("n_labels > 1").drop("n_labels")
+    mixed = stored(labelled.join(torn, ["t", "key"]), "forest-mixed")
     homes = mixed.groupBy("rep").agg(F.array(*[F.coalesce(F.max(F.when(F.col("t") == t, F.col("key"))), F.lit(0)) for t in range(ORDERS)]).alias("homes"))
-    suspects = by_region(mixed.join(homes, "rep"), "rep").select("t", "key", "rep", "sig", "n", "label", F.col("key").alias("home"), "homes").mapInArrow(_suspects(floor, share), "t int, key long, rep long, label long")
+    suspects = by_region(_dealt(mixed).join(homes, "rep"), "rep").select("t", "key", "rep", "sig", "n", "label", "key", "homes", "side").mapInArrow(_suspects(floor, share), "t int, key long, rep long, label long")
     gathered = stored(suspects, "forest-suspects").join(held, F.col("rep") == F.col("doc_id"))
     late = stored(by_region(gathered, "rep").select("t", "key", "label", "text").mapInArrow(_joiner(k, num, den), "a long, b long"), "forest-late")
     if late.isEmpty():

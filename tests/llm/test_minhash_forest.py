@@ -89,3 +89,21 @@ def test_links_between_groups_of_one_region(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_components(docs, 3, 85, 100).collect()}
     assert out == brute(rows, 3, 85, 100)
+
+
+def test_links_that_only_a_dense_region_holds(spark, monkeypatch):
+    """Sets that part from a crowd at every deeper cut still meet it in the whole region."""
+    from echoloom.llm import minhash_forest
+
+    rnd = random.Random(1)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, " ".join(base) + f" tail{i}") for i in range(40)]
+    for i in range(40):
+        words = list(base)
+        for p in rnd.sample(range(200), 5):
+            words[p] = f"x{rnd.randrange(10**6)}"
+        rows.append((100 + i, " ".join(words)))
+    monkeypatch.setattr(minhash_forest, "REGION", 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_components(docs, 3, 85, 100).collect()}
+    assert out == brute(rows, 3, 85, 100)
