@@ -137,8 +137,8 @@ def intent_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return fuzzy_groups(eligible(records(spark, sf_dir)), comparable_intent(F.col("intent")), "fuzzy", THRESHOLD)
 
 
-def code_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return fuzzy_groups(eligible(records(spark, sf_dir)), F.expr(CODE), "normalized_code_fuzzy", 0.7)
+def code_groups(spark: SparkSession, sf_dir: str, code: str = CODE) -> tuple[DataFrame, DataFrame]:
+    return fuzzy_groups(eligible(records(spark, sf_dir)), F.expr(code), "normalized_code_fuzzy", 0.7)
 
 
 @query(groups_sql(INTENT, THRESHOLD, FUNCTIONS) + GROUPS_OUT)
@@ -161,6 +161,24 @@ def code_fuzzy_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _members(code_groups(spark, sf_dir))
 
 
+# The same on whole code, which is beyond what the SQL's bits hold.
+
+
+@query()
+def code_ratio_edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_edges(eligible(records(spark, sf_dir)), F.col("normalized_code"), 0.7)
+
+
+@query()
+def code_fuzzy_group_sizes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(code_groups(spark, sf_dir, "normalized_code"))
+
+
+@query()
+def code_fuzzy_members_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _members(code_groups(spark, sf_dir, "normalized_code"))
+
+
 @query(groups_sql(INTENT, THRESHOLD, "true") + " SELECT record_id AS node, component FROM comp")
 def fuzzy_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(record_edges(records(spark, sf_dir), comparable_intent(F.col("intent")), THRESHOLD))
