@@ -99,15 +99,28 @@ def null_intent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SWEEP = (0.5, 0.7, 0.85, 1.0)
 
 
-@query(f"{edges_sql(INTENT, 0.5, 'run_id < 5')} " + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, count(*) AS pairs FROM edges WHERE ratio >= {t}" for t in SWEEP))
-def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, out = stored(records(spark, sf_dir).where("run_id < 5"), "sweep"), None
+SWEEP_OUT = " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, count(*) AS pairs FROM edges WHERE ratio >= {t}" for t in SWEEP)
+
+
+def _sweep(rows: DataFrame) -> DataFrame:
+    rows, out = stored(rows, "sweep"), None
     for t in SWEEP:
         one = record_edges(rows, comparable_intent(F.col("intent")), t).agg(F.count("*").alias("pairs")).select(F.lit(t).alias("threshold"), "pairs")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query(f"{edges_sql(INTENT, 0.5, 'run_id < 5')} {SWEEP_OUT}")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sweep(records(spark, sf_dir).where("run_id < 5"))
+
+
+@query(f"{edges_sql(INTENT, 0.5)} {SWEEP_OUT}")
+def threshold_sweep_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs."""
+    return _sweep(records(spark, sf_dir))
+
+
 def groups_sql(text: str, threshold: float, where: str) -> str:
     """CTEs up to ``labelled`` (run_id, record_id, component, group_id)."""
     return f"""{edges_sql(text, threshold, where)},
