@@ -237,13 +237,51 @@ def test_queries_in_several_blocks(spark, monkeypatch):
 def test_bounds_hold():
     rng = np.random.default_rng(4)
     vectors, queries = rng.standard_normal((2000, 64)), rng.standard_normal((20, 64))
-    centre, turn = vectors.mean(0), ann.rotation(64)
-    assert np.allclose(turn @ turn.T, np.eye(64))
-    low = ann.Codes(vectors, centre, turn).lower_bounds((queries - centre) @ turn, 0, 2000)
+    frame = ann.Frame(0, vectors.mean(0), ann.rotation(64))
+    assert np.allclose(frame.turn @ frame.turn.T, np.eye(64))
+    bits, norm, match = frame.codes(vectors)
+    low = ann.Queries(np.arange(20), np.arange(20), queries, np.full(20, np.inf), frame).lower_bounds(ann.signs_of(bits, 64), norm, match)
     true = ((queries[:, None, :] - vectors[None]) ** 2).sum(2)
     assert (low <= true + 1e-4).mean() > 0.9999 and (low > 0.3 * true).mean() > 0.9
 
 
+@pytest.mark.parametrize("size", [(1e60,), (1e-60,), (1e200,), (1e-200,), (1.0, 1e60, 1e-60, 1e155, 3e307)])
+def test_vectors_of_any_magnitude(spark, size):
+    """Against distances in 300 binary digits, of finite vectors that are far from usual, alone and mixed."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 50
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 16)) / 4 * np.array([size[i % len(size)] for i in range(300)])[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(frame, F.col("vec_id") % 25 == 0).collect()}
+    exact = [[Decimal(c) for c in v] for v in x.tolist()]
+    assert len(got) == 120
+    for q in range(0, 300, 25):
+        want = sorted((float(sum((a - b) ** 2 for a, b in zip(exact[q], v, strict=True)).sqrt()), i) for i, v in enumerate(exact) if i != q)[:10]
+        for r, (d, _) in enumerate(want, 1):
+            assert got[q, r][1] == pytest.approx(d, rel=1e-12)
+        assert {got[q, r][0] for r in range(1, 11)} == {i for _, i in want}
+
+
+def test_queries_are_read_by_chunk(spark, monkeypatch):
+    """Many files of queries, rows in many chunks, and nothing kept between them."""
+    monkeypatch.setattr(ann, "HELD", 0)
+    monkeypatch.setattr(ann, "BLOCK", 10)
+    monkeypatch.setattr(ann, "SAMPLE", 50)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(2)
+    got = {(r.query_id, r.rank): r.vec_id for r in ann.nearest(frame, F.col("vec_id") % 5 == 0).collect()}
+    assert len(got) == 6000
+    hits = 0
+    for q in range(0, 3000, 5):
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        hits += len({got[q, r] for r in range(1, 11)} & set(np.argsort(d)[:10].tolist()))
+    assert hits / 6000 > 0.999
+
+
 # WARC bundles.
 
 
