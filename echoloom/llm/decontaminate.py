@@ -2,19 +2,22 @@
 
 Windows of a document that are as long as a benchmark item are fingerprinted and
 compared with the items' fingerprints through a multi-index over Hamming blocks;
-what lies within the radius is verified on weighted five-word shingles.
+what the index brings together is verified on weighted five-word shingles.
 
 * A window can only reach the similarity if it shares a shingle with an item of its
   size.  Windows are therefore laid where a shared shingle aligns them with the item: one at
   word p of the document and word q of the item gives the window that begins at p - q.  All
   shingles of all documents are tried, and every alignment of each.
-* SimHash: 64 bits; each bit is the majority of that bit among the hashes of a window's words.
-* The multi-index: fingerprints within ``RADIUS`` agree in at least one of ``BLOCKS`` blocks of 8 bits
-  up to RADIUS // BLOCKS bits, so every item is filed under all such values of each block.
+* The fingerprint of a window has a block of ``BITS`` bits for each of :func:`parts` parts of the item's length: the
+  SimHash of the words there, each bit the majority of that bit among the words' hashes.
+* The multi-index: an item is filed, part by part, under all values within ``RADIUS`` bits of its block, so it
+  meets every window with one block that near.  Of n blocks, fingerprints that differ in less than n * (RADIUS + 1)
+  bits in all always meet.  A window of 80 % similarity has lost at most a ninth of the item's
+  shingles, of which every change inside takes five: as a rule some part is whole, and its block equal.
 * Verification: weighted Jaccard similarity of the two multisets of shingles.
 
-Item shingles are broadcast in blocks of at most ``MOST_SHINGLES``; a larger benchmark takes more
-passes over the documents, one for each block.
+The index holds values and row numbers; words join them once a pair is found.  Item shingles are broadcast
+in blocks of at most ``MOST_SHINGLES``; a larger benchmark takes more passes over the documents, one for each block.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from echoloom.scratch import stored
 
-K, RADIUS, BLOCKS = 5, 20, 8
+K, BITS, RADIUS, MOST_PARTS = 5, 24, 1, 16
 MOST_SHINGLES = 500_000  #: rows of at most some 40 bytes, so 20 MB a broadcast
-#: All 8-bit masks of at most RADIUS // BLOCKS bits.
-NEAR_MASKS = [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(8), n)]
+#: All masks of at most RADIUS bits.
+NEAR_MASKS = [sum(1 << b for b in bits) for n in range(RADIUS + 1) for bits in combinations(range(BITS), n)]
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -44,41 +47,68 @@ def shingles(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(words: Column) -> Column:
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+def simhash(hashes: Column, bits: int = BITS) -> Column:
+    """The majority of each of the lowest bits among 64-bit hashes."""
+
+    def add(done: Column, b: Column) -> Column:
+        ones = F.size(F.filter(hashes, lambda x: F.call_function("getbit", x, b) == 1))
+        return F.when(ones * 2 > F.size(hashes), done.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(done)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), add)
 
-    def bits(h: Column) -> Column:
-        def add(done: Column, b: Column) -> Column:
-            ones = F.size(F.filter(h, lambda x: F.call_function("getbit", x, b) == 1))
-            return F.when(ones * 2 > F.size(h), done.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(done)
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), add)
+def parts(n_words: Column, k: Column, num: int, den: int) -> Column:
+    """Into how many parts an item is cut: one where every shingle must be equal, two where one may differ, else of some twelve words, three at least."""
+    lost = F.floor((n_words - k + 1) * (den - num) / (den + num))
+    return F.when(lost < 1, 1).when(lost < 2, 2).otherwise(F.least(F.greatest(F.floor(n_words / 12), F.lit(3)), F.lit(MOST_PARTS))).cast("int")
 
-    return bits(hashes)
 
+def _blocks(words: Column, n_words: Column, lead: Column, n_parts: Column) -> Column:
+    """(part, value) of each part that has words; ``words`` begin at place ``lead`` of an item of ``n_words``."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+
+    def one(i: Column) -> Column:
+        low, high = (F.greatest(F.floor((i + d) * n_words / n_parts).cast("int") - lead, F.lit(0)) for d in (0, 1))
+        own = F.slice(hashes, low + 1, F.greatest(high - low, F.lit(0)))
+        return F.struct(i.alias("part"), F.when(F.size(own) > 0, simhash(own)).alias("value"))
 
-def _block(fingerprint: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fingerprint, 8 * i).bitwiseAND(F.lit(255)).cast("int")
+    return F.filter(F.transform(F.sequence(F.lit(0), n_parts - 1), one), lambda b: b["value"].isNotNull())
 
 
-def _text_shingles(words: Column, k: int) -> Column:
+def _text_shingles(words: Column, k: Column) -> Column:
     """Shingles as strings, each with its number among equal ones, so that sets of them count repeats."""
     runs = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.array_join(F.slice(words, i + 1, k), " "))
     ordered = F.array_sort(runs)
     return F.when(F.size(F.array_distinct(runs)) == F.size(runs), runs).otherwise(F.transform(ordered, lambda x, i: F.concat(x, F.lit(" "), (i - F.array_position(ordered, x)).cast("string"))))
 
 
-def _windows(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """(doc_id, start, words): windows laid by shingles shared with items, for one block of items."""
-    filed = items.select("n_words", F.posexplode(shingles(F.col("words"), k)).alias("q", "h")).groupBy("h").agg(F.collect_set(F.struct("n_words", "q")).alias("spots"))
+def _windows(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, k, n_words, start, lead, words): windows laid by shingles shared with items, for one block of items.
+
+    ``lead`` counts the words of the item that would lie before the document.
+    """
+
+    def sized(words: Column, k: int) -> Column:
+        return F.transform(shingles(words, k), lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("p"), h.alias("h")))
+
+    def every(words: Column) -> Column:
+        return F.concat(*[sized(words, k) for k in sizes])
+
+    spots = F.collect_set(F.struct("n_words", "q")).alias("spots")
+    filed = items.select("k", "n_words", F.explode(every(F.col("words"))).alias("s")).where("s.k = k").select("k", "n_words", F.col("s.p").alias("q"), F.col("s.h").alias("h")).groupBy("k", "h").agg(spots)
     # The shingles are a column of their own: exploding them is then generated code, which copies words only for rows that
     # meet an item.  The outer form keeps Catalyst from inferring a filter that would compute them once more.
-    split = docs.select("doc_id", words_of(F.col("text")).alias("words")).withColumn("hs", shingles(F.col("words"), k))
-    spread = split.select("doc_id", "words", F.posexplode_outer("hs").alias("p", "h"))
-    laid = spread.join(F.broadcast(filed), "h").select("doc_id", "words", "p", F.explode("spots").alias("s"))
+    split = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    if len(sizes) == 1:
+        spread = split.withColumn("hs", shingles(F.col("words"), sizes[0])).select("doc_id", "words", F.posexplode_outer("hs").alias("p", "h"))
+        met = spread.join(F.broadcast(filed), "h")
+    else:
+        spread = split.withColumn("hs", every(F.col("words"))).select("doc_id", "words", F.explode_outer("hs").alias("s")).select("doc_id", "words", "s.k", "s.p", "s.h")
+        met = spread.join(F.broadcast(filed), ["h", "k"])
+    laid = met.select("doc_id", "words", "k", "p", F.explode("spots").alias("s"))
     begin = F.col("p") - F.col("s.q")
-    start, length = F.greatest(begin, F.lit(0)), F.col("s.n_words") + F.least(begin, F.lit(0))
-    return laid.select("doc_id", start.alias("start"), F.slice("words", start + 1, length).alias("words"), F.col("s.n_words").alias("n_words"))
+    start, lead = F.greatest(begin, F.lit(0)), F.greatest(-begin, F.lit(0))
+    return laid.select("doc_id", "k", F.col("s.n_words").alias("n_words"), start.alias("start"), lead.alias("lead"), F.slice("words", start + 1, F.col("s.n_words") - lead).alias("words"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, num: int = 80, den: int = 100) -> DataFrame:
@@ -95,30 +125,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, num: int =
     are each reported; rows that repeat a doc_id, or have none, are reported as one document.
     """
     spark = docs.sparkSession
-    items = stored(benchmark.select("item_id", words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words")).where("n_words > 0").withColumn("k", F.least(F.lit(k), F.col("n_words"))), "bench-items")
-    laid = []
-    for row in items.groupBy("k").agg(F.sum("n_words").alias("n")).collect():  # at most k rows
-        own = items.where(F.col("k") == row["k"])
-        blocks = row["n"] // MOST_SHINGLES + 1
-        laid += [_windows(docs, own.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b), row["k"]).withColumn("k", F.lit(row["k"])) for b in range(blocks)]
-    if not laid:
+    split = benchmark.select("item_id", words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words")).where("n_words > 0")
+    items = stored(split.withColumns({"k": F.least(F.lit(k), F.col("n_words")), "item": F.monotonically_increasing_id()}), "bench-items")
+    held = {row["k"]: row["n"] for row in items.groupBy("k").agg(F.sum("n_words").alias("n")).collect()}  # at most k rows
+    if not held:
         return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start long, n_words long")
-    windows = stored(reduce(DataFrame.unionByName, laid).distinct(), "bench-windows")
-    probes = windows.withColumn("fp", simhash(F.col("words")))
-    marks = items.withColumn("fp", simhash(F.col("words")))
-    index = marks.select("item_id", "k", "n_words", F.col("fp").alias("item_fp"), F.col("words").alias("item_words"), F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).alias("v")) for i in range(BLOCKS)])).alias("e"))
-    index = index.select("*", F.explode(F.array(*map(F.lit, NEAR_MASKS))).alias("mask")).select("item_id", "k", "n_words", "item_fp", "item_words", F.col("e.block").alias("block"), F.col("e.v").bitwiseXOR(F.col("mask")).alias("value"))
-    asked = probes.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).alias("value")) for i in range(BLOCKS)])).alias("e")).select(*probes.columns, "e.block", "e.value")
-    near = asked.join(index, ["k", "n_words", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    # The first block that brings a pair stands for all: no pair is compared twice.
-    close = [F.bit_count(_block(F.col("fp"), i).bitwiseXOR(_block(F.col("item_fp"), i))) <= RADIUS // BLOCKS for i in range(BLOCKS)]
-    near = near.where(F.col("block") == F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(close)]))
-    found = []
-    for kk in range(1, k + 1):
-        both = near.where(F.col("k") == kk).withColumn("a", _text_shingles(F.col("words"), kk)).withColumn("b", _text_shingles(F.col("item_words"), kk)).where(F.size("words") >= kk)
-        found.append(both.select("doc_id", "item_id", "start", F.size("words").alias("n_words"), F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("both")))
-    sizes = {r["k"] for r in items.select("k").distinct().collect()}
-    scored = reduce(DataFrame.unionByName, [f for kk, f in enumerate(found, 1) if kk in sizes]).withColumn("union", F.col("both") - F.col("common"))
+    passes = sum(held.values()) // MOST_SHINGLES + 1
+    laid = [_windows(docs, items.where(F.pmod(F.xxhash64("words"), F.lit(passes)) == b), sorted(held)) for b in range(passes)]
+    windows = stored(reduce(DataFrame.unionByName, laid).distinct().withColumn("window", F.monotonically_increasing_id()), "bench-windows")
+
+    n_parts = parts(F.col("n_words"), F.col("k"), num, den)
+    own = _blocks(F.col("words"), F.col("n_words"), F.lit(0), n_parts)
+    index = items.select("item", "k", "n_words", F.explode(own).alias("b")).select("item", "k", "n_words", "b.part", F.explode(F.transform(F.array(*map(F.lit, NEAR_MASKS)), lambda m: F.col("b.value").bitwiseXOR(m.cast("long")))).alias("value"))
+    asked = windows.select("window", "k", "n_words", F.explode(_blocks(F.col("words"), F.col("n_words"), F.col("lead"), n_parts)).alias("b")).select("window", "k", "n_words", "b.part", "b.value")
+    near = stored(asked.join(index, ["k", "n_words", "part", "value"]).select("window", "item").distinct(), "bench-near")
+
+    both = near.join(windows.select("window", "doc_id", "k", "start", "words"), "window").join(items.select("item", "item_id", F.col("words").alias("item_words")), "item").where("size(words) >= k")
+    cut = both.withColumns({"a": _text_shingles(F.col("words"), F.col("k")), "b": _text_shingles(F.col("item_words"), F.col("k"))})
+    scored = cut.select("doc_id", "item_id", "start", F.size("words").alias("n_words"), F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("both"))
+    scored = scored.withColumn("union", F.col("both") - F.col("common"))
     good = scored.where(F.col("common") * den >= F.col("union") * num).withColumn("similarity", F.col("common") / F.col("union"))
     best = F.min_by(F.struct("similarity", "start", "n_words"), F.struct(-F.col("similarity"), F.col("start")))
     return good.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", F.col("b.start").cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"))

@@ -254,6 +254,45 @@ def test_benchmark_in_several_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("words", [["a"], ["a", "b", "a"], [f"x{i}" for i in range(300)]])
 def test_simhash_is_a_majority(spark, words):
     hashes = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()]
-    want = sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in hashes) > len(hashes))
-    got = spark.createDataFrame([(words,)], "w array<string>").select(simhash(F.col("w"))).first()[0]
-    assert got % (1 << 64) == want
+    want = sum(1 << b for b in range(24) if 2 * sum((h >> b) & 1 for h in hashes) > len(hashes))
+    got = spark.createDataFrame([(words,)], "w array<string>").select(simhash(F.transform("w", lambda w: F.xxhash64(w)))).first()[0]
+    assert got == want
+
+
+def test_many_items_of_one_length(spark, monkeypatch):
+    """12,000 items of 30 words that share openings: windows meet few of them, and every edited copy that is similar enough is found."""
+    from echoloom.llm import decontaminate
+
+    rnd = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    head = [["which", "of", "these", "is", "true", "about"], ["the", "answer", "to", "this", "question", "is"], []]
+    items = []
+    for i in range(12_000):
+        first = rnd.choice(head)
+        items.append((i, " ".join(first + rnd.choices(vocabulary, k=30 - len(first)))))
+    docs = []
+    for d in range(600):
+        x = items[rnd.randrange(len(items))][1].split()
+        for at in rnd.choice([[], [0], [29], [0, 29], [1], [28], [0, 1], [14]]):
+            x[at] = "other"
+        x = x[2:] if d % 7 == 0 else x[:-1] if d % 11 == 0 else x
+        before = [] if d % 7 == 0 else rnd.choices(vocabulary, k=rnd.randrange(5))
+        docs.append((d, " ".join(before + x + ([] if d % 11 == 0 else rnd.choices(vocabulary, k=5)))))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    kept, real = {}, decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, label: kept.setdefault(label, real(df, label)))
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start, r.n_words) for r in contamination(frame, marks).collect()}
+    of_shingle = defaultdict(set)
+    for i, t in items:
+        w = t.split()
+        for q in range(26):
+            of_shingle[tuple(w[q : q + 5])].add(i)
+    want = {}
+    for d, t in docs:
+        w = t.split()
+        shared = Counter(i for p in range(len(w) - 4) for i in of_shingle.get(tuple(w[p : p + 5]), ()))
+        some = [i for i, n in shared.items() if n >= 15]  # 24 of 26 are needed, of which a cut window may lack some
+        want |= brute([(d, t)], [items[i] for i in some])
+    assert len(want) > 400 and got == want
+    assert kept["bench-near"].count() < 10 * kept["bench-windows"].count()  # of 12,000 items
