@@ -4,6 +4,8 @@ Rules are (host, path) pairs.  Their strings ``host + path`` are hashed with xxh
 the hashes are stored sorted, with the full strings beside them.  Executors memory-map that
 file, probe it for all host suffixes and path prefixes of a batch of URLs by one vectorised
 binary search, and compare the stored strings so that a collision of hashes decides nothing.
+Only suffixes and prefixes as long as some rule's are probed, so a URL of any length costs no more
+than the rules ask for.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ def lower_ascii(text: str) -> str:
 
 
 def packed(rules: Iterable[tuple[str, str, str]]) -> bytes:
-    """The index of (host, path, verdict) rules: counts, path lengths, sorted keys, offsets, verdicts, strings.
+    """The index of (host, path, verdict) rules: counts, lengths of hosts and paths, sorted keys, offsets, verdicts, strings.
 
     Hosts are lower-cased; of equal rules the last holds.
     """
     import xxhash
 
-    verdict_of = {lower_ascii(host) + path: (verdict, len(path)) for host, path, verdict in rules}
+    verdict_of = {lower_ascii(host) + path: (verdict, (len(host), len(path))) for host, path, verdict in rules}
     if len(verdict_of) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
     if any(v not in ("allow", "block") for v, _ in verdict_of.values()):
@@ -41,7 +43,7 @@ def packed(rules: Iterable[tuple[str, str, str]]) -> bytes:
     names = sorted(verdict_of, key=lambda x: (xxhash.xxh64_intdigest(x.encode()), x))
     raw = [x.encode() for x in names]
     keys = np.array([xxhash.xxh64_intdigest(x) for x in raw], np.uint64)
-    lengths = np.array(sorted({n for _, n in verdict_of.values()}), np.int64)
+    lengths = np.array(sorted({n for _, n in verdict_of.values()}), np.int64).reshape(-1, 2)
     offsets = np.cumsum([0, *map(len, raw)], dtype=np.int64)
     allow = np.array([verdict_of[x][0] == "allow" for x in names], np.uint8)
     head = np.array([len(raw), len(lengths)], np.int64)
@@ -54,8 +56,10 @@ class DigestArray:
     def __init__(self, path: str) -> None:
         data = np.memmap(path, np.uint8, "r")
         n, m = data[:16].view(np.int64).tolist()
-        at = 16 + 8 * m
-        self.lengths = data[16:at].view(np.int64).tolist()
+        at = 16 + 16 * m
+        self.paths_of: dict[int, list[int]] = {}  #: by length of host, the lengths of paths
+        for host, path in data[16:at].view(np.int64).reshape(-1, 2).tolist():
+            self.paths_of.setdefault(host, []).append(path)
         self.keys = data[at : at + 8 * n].view(np.uint64)
         self.offsets = data[at + 8 * n : at + 8 * (2 * n + 1)].view(np.int64)
         self.allow = data[at + 8 * (2 * n + 1) :][:n]
@@ -85,11 +89,12 @@ def _judge(name: str, otherwise: str) -> Callable:
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             wanted, owner = [], []
             for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-                suffixes = [host] + [host[j + 1 :] for j, c in enumerate(host) if c == "."]
-                for n in index.lengths:
-                    if n <= len(path):
-                        wanted += [(s + path[:n]).encode() for s in suffixes]
-                        owner += [i] * len(suffixes)
+                for n, lengths in index.paths_of.items():
+                    if n == len(host) or (n < len(host) and host[len(host) - n - 1] == "."):
+                        suffix = host[len(host) - n :]
+                        fits = [m for m in lengths if m <= len(path)]
+                        wanted += [(suffix + path[:m]).encode() for m in fits]
+                        owner += [i] * len(fits)
             found, rule, verdict = index.find(wanted), [None] * batch.num_rows, [otherwise] * batch.num_rows
             for k in np.flatnonzero(found >= 0).tolist():
                 text = wanted[k].decode()
@@ -117,7 +122,8 @@ def url_verdicts(pages: DataFrame, rules: Iterable[tuple[str, str, str]], otherw
     rule's, letter by letter.  ``pages`` has ``page_id`` and ``url``; other columns are ignored.
     Returns ``page_id``, ``host``, ``path``, ``rule`` (null if none fits) and ``verdict`` (the rule's, else
     ``otherwise``).  Null, empty and malformed URLs have an empty host and path, so no rule with a
-    host fits them.  Repeated rows are each given; an empty table gives an empty result.
+    host fits them; URLs of any length are judged whole.  Repeated rows are each given; an empty
+    table gives an empty result.
     """
     spark = pages.sparkSession
     where = stored_index(spark, packed(rules))

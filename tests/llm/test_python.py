@@ -177,6 +177,14 @@ def test_urls_against_plain(spark):
     assert url_filter.url_verdicts(pages.limit(0), rules).count() == 0
 
 
+def test_very_long_urls(spark):
+    """A megabyte of host or path costs no more than the rules ask for."""
+    dots, path = "a." * 500_000, "/en/" * 250_000
+    pages = spark.createDataFrame([(1, f"http://{dots}example.com/en/"), (2, f"http://{dots}"), (3, f"http://www.example.com{path}"), (4, "http://" + "." * 1_000_000 + "net/fr/x")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_verdicts(pages, entries.RULES).collect()}
+    assert got == {1: ("example.com/en/", "block"), 2: (None, "allow"), 3: ("www.example.com/en/", "allow"), 4: ("net/fr/", "block")}
+
+
 def test_collisions_decide_nothing(tmp_path, monkeypatch):
     import xxhash
 
