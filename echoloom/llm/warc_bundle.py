@@ -23,27 +23,21 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from echoloom.llm.arrow import bounded_batches
+from echoloom.llm.shared_files import opened
 from echoloom.scratch import scratch_path, stored
 
 LEAST = 100  #: bytes of a payload from which on equal ones are revisits
 FRAME = 1 << 18  #: bytes of records after which a frame is closed
 BUNDLE = 1 << 26  #: bytes of compressed frames after which a bundle is closed
+DEALT = 16  #: tasks among which the rows of one payload are dealt
+GROUP = 16  #: frames that are read together
+PART = 1 << 25  #: bytes of records that a reading task gets
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 MANIFEST = "bundle string, record_id string, frame long, offset long, length long"
 
 
-def _open(uri: str, mode: str):  # noqa: ANN202
-    """A file in a store that all executors reach, by its URI."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    if mode == "r":
-        return store.open_input_file(path)
-    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return store.open_output_stream(path, compression=None)
-
-
 def record(record_id: str, url: str | None, kind: str, payload: bytes, digest: str, size: int, refers_to: str | None) -> bytes:
     """One WARC/1.1 record."""
     head = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <" + record_id.encode() + b">", b"WARC-Date: 1970-01-01T00:00:00Z"]
@@ -86,7 +80,7 @@ def read_record(uri: str, frame: int, offset: int, length: int) -> tuple[dict[st
     """One record by its place, decompressing its frame alone."""
     import zstandard
 
-    with _open(uri, "r") as f:
+    with opened(uri, "r") as f:
         sizes = frame_sizes(f)
         f.seek(sum(c for c, _ in sizes[:frame]))
         data = zstandard.ZstdDecompressor().decompress(f.read(sizes[frame][0]))
@@ -107,7 +101,7 @@ class _Writer:
             task = TaskContext.get()
             part = f"{task.partitionId():06d}-{task.taskAttemptId()}" if task else "0"
             self.uri = f"{self.folder}/{part}-{uuid.uuid4().hex}.warc.zst"
-            self.file, self.frames, self.places = _open(self.uri, "w"), [], []
+            self.file, self.frames, self.places = opened(self.uri, "w"), [], []
         self.places.append((record_id, len(self.frames), self.size, len(data)))
         self.held.append(data)
         self.size += len(data)
@@ -160,11 +154,16 @@ def write_archive(pages: DataFrame, folder: str) -> DataFrame:
     has an id.  Other columns are ignored.  The manifest is stored; an empty table gives
     an empty one and no bundle.
     """
+    bounded_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
-    firsts = rows.where(F.col("size") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    joined = rows.join(stored(firsts, "warc-firsts").hint("merge"), "digest", "left")
+    firsts = rows.where(F.col("size") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # A payload that very many rows share is dealt among tasks, and adaptive execution splits what is still large; small ones meet nothing.
+    deal = F.xxhash64("page_id", "url")
+    firsts = stored(firsts.select(F.col("digest").alias("met"), "first", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)).cast("array<long>")).alias("deal")), "warc-firsts")
+    dealt = rows.withColumns({"met": F.when(F.col("size") >= LEAST, F.col("digest")).otherwise(""), "deal": F.when(F.col("size") >= LEAST, F.pmod(deal, F.lit(DEALT))).otherwise(deal)})
+    joined = dealt.join(firsts.hint("merge"), ["met", "deal"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     told = joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", F.when(revisit, F.col("first")).alias("refers_to"))
     return stored(told.mapInArrow(_bundler(folder), MANIFEST), "warc-manifest")
@@ -180,7 +179,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places: dict[int, list] = {}
             for p in frames:
                 places.setdefault(p["frame"], []).append(p)
-            with _open(uri, "r") as f:
+            with opened(uri, "r") as f:
                 starts, at = [], 0
                 for compressed, _ in frame_sizes(f):
                     starts.append((at, compressed))
@@ -201,7 +200,12 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archive(manifest: DataFrame) -> DataFrame:
     """Every record of a manifest, from its bundle: ids, type, target, url, payload (null for a
     revisit), and digest and length of the full payload; those of a response are computed anew."""
-    frames = manifest.groupBy("bundle", (F.col("frame") / 64).cast("long")).agg(F.collect_list(F.struct("frame", "offset", "length")).alias("places"))
+    spark = manifest.sparkSession
+    bounded_batches(spark)
+    group = (F.col("frame") / GROUP).cast("long").alias("group")
+    size = manifest.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("b"), F.count_distinct("bundle", group).alias("n")).first()
+    tasks = max(1, min(size["n"], max(spark.sparkContext.defaultParallelism, size["b"] // PART)))  # by bytes of payload: the manifest itself is small
+    frames = manifest.withColumn("group", group).repartition(tasks, "bundle", "group").groupBy("bundle", "group").agg(F.collect_list(F.struct("frame", "offset", "length")).alias("places"))
     return frames.select("bundle", "places").mapInArrow(_reader, "record_id string, record_type string, refers_to string, url string, payload binary, payload_digest string, payload_bytes long")
 
 
