@@ -5,7 +5,8 @@ their coordinates, with two correction scalars: the norm, and the inner product
 unit vector with its own code.  Codes are computed once and stored.  A query's inner product with a
 code, divided by the latter scalar, estimates its inner product with the vector without bias; how far
 the estimate may be off is bounded with a probability that ``BOUND`` sets.  Vectors
-whose lower bound of the distance beats what a query already has are reranked by exact distances.
+whose lower bound of the distance beats what a query already has are reranked: by distances up to
+rounding, as one product of matrices, and those that remain by exact ones.
 
 Queries are a table too: the rows that ask, with the distance beyond which each need not look (the
 k-th exact distance within a bounded sample of the candidates), stored in files of at most
@@ -48,12 +49,16 @@ def row_norms(vectors: np.ndarray) -> np.ndarray:
     """Euclidean norms in double precision, components added in order, without overflow or underflow on the way."""
     if not vectors.size:
         return np.zeros(len(vectors))
-    top = np.abs(vectors).max(1)
-    shift = np.where(np.isfinite(top), np.frexp(np.where(np.isfinite(top), top, 1.0))[1], 0)
-    shift = np.where(np.abs(shift) > 400, shift, 0)  # powers of two, so that usual vectors are left as they are
     with np.errstate(over="ignore", invalid="ignore"):
-        parts = np.ldexp(vectors, -shift[:, None]) ** 2
-        return np.ldexp(np.sqrt(np.add.accumulate(parts, axis=1)[:, -1]), shift)
+        squares = np.add.accumulate(vectors**2, axis=1)[:, -1]
+        out = np.sqrt(squares)
+        odd = np.flatnonzero(~((squares > 1e-200) & (squares < 1e200)))
+        if len(odd):  # once more, times a power of two
+            top = np.abs(vectors[odd]).max(1)
+            shift = np.where(np.isfinite(top), np.frexp(np.where(np.isfinite(top), top, 1.0))[1], 0)
+            parts = np.ldexp(vectors[odd], -shift[:, None]) ** 2
+            out[odd] = np.ldexp(np.sqrt(np.add.accumulate(parts, axis=1)[:, -1]), shift)
+    return out
 
 
 def distances(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -77,9 +82,13 @@ class Frame:
         near = near[(np.abs(near) <= 1e3).all(1)] if len(near) else near  # outliers would move the centre away from all others
         return cls(scale, near.mean(0) if len(near) else np.zeros(dim), rotation(dim))
 
+    def centred(self, vectors: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.ldexp(vectors, self.scale) - self.centre
+
     def moved(self, vectors: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore", invalid="ignore"):
-            return (np.ldexp(vectors, self.scale) - self.centre) @ self.turn
+            return self.centred(vectors) @ self.turn
 
     def codes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Packed signs, norms, and inner products of unit vectors with their own codes."""
@@ -95,7 +104,7 @@ class Queries:
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, limits: np.ndarray, frame: Frame) -> None:
         self.rows, self.ids, self.vectors, self.limits = rows, ids, vectors, limits
-        moved = frame.moved(vectors)
+        self.centred, moved = frame.centred(vectors), frame.moved(vectors)
         self.length = row_norms(moved)
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
             self.unit = np.where(self.length[:, None] > 0, moved / self.length[:, None], 0.0).astype(np.float32)
@@ -110,6 +119,12 @@ class Queries:
             rounding = 1e-20 * (norm[None, :] ** 2 + self.length[:, None] ** 2)
             return (norm[None, :] - self.length[:, None]) ** 2 + 2 * norm[None, :] * self.length[:, None] * (1 - cosine) - rounding
 
+    def squares(self, centred: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """Squared scaled distances less what rounding may add to them, by query and vector; maybe not numbers."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            both = norm[None, :] ** 2 + self.length[:, None] ** 2
+            return both * (1 - 1e-11) - 2 * (self.centred @ centred.T)
+
 
 def signs_of(bits: np.ndarray, dim: int) -> np.ndarray:
     return np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
@@ -174,6 +189,7 @@ def _search(shared, paths: list[str], kept: bool, dim: int, k: int) -> Callable:
         frame = shared.value
         few = [block for path in paths for block in _read(path, frame)] if kept else None
         for ids, rows, vectors, bits, norm, match in _chunks(batches, dim):
+            centred = frame.centred(vectors)
             for block in few if kept else (block for path in paths for block in _read(path, frame)):
                 best = block.limits.copy()
                 held: list[list] = [[] for _ in best]
@@ -183,6 +199,8 @@ def _search(shared, paths: list[str], kept: bool, dim: int, k: int) -> Callable:
                     with np.errstate(over="ignore", invalid="ignore"):
                         reach = np.ldexp(best, frame.scale) ** 2 * (1 + 1e-6) + 1e-12
                         near = ~(bounds > reach[:, None])  # what is not a number is looked at
+                        at = np.flatnonzero(near.any(0))
+                        near[:, at] &= ~(block.squares(centred[part][at], norm[part][at]) > reach[:, None])
                     for q in np.flatnonzero(near.any(1)).tolist():
                         at = low + np.flatnonzero(near[q])
                         at = at[rows[at] != block.rows[q]]
@@ -236,6 +254,6 @@ def _candidates(rows: DataFrame, total: int, dim: int, k: int) -> DataFrame:
     coded = stored(numbered.mapInArrow(_coder(shared), f"{own}, asked boolean, bits binary, norm double, match double"), "ann-codes")  # fixes the row numbers
     asked = coded.where("asked").select("vec_id", "row", "v")
     n = asked.count()
-    dealt = asked.repartition(max(1, -(-n // BLOCK)), F.xxhash64("row"))  # files of some BLOCK queries
-    paths = stored(dealt.mapInArrow(_limiter(known, k), f"{own}, most double"), "ann-queries").inputFiles()
+    limited = asked.mapInArrow(_limiter(known, k), f"{own}, most double")
+    paths = stored(limited.repartition(max(1, -(-n // BLOCK)), F.xxhash64("row")), "ann-queries").inputFiles()  # files of some BLOCK queries
     return coded.drop("asked").mapInArrow(_search(shared, paths, n * dim * 12 <= HELD, dim, k), FOUND)
