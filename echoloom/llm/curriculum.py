@@ -24,12 +24,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def cyclic_schedules(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
-    """Constant schedules: sources by code point, null last, take the weights in turn."""
-    n = len(weights)
-    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (place % n + 1).cast("int"))
-    return sources.select("source").distinct().select("source", F.array(weight, weight).alias("schedule"))
+def cyclic_schedules(sources: DataFrame, schedules: tuple[tuple[float, ...], ...]) -> DataFrame:
+    """(source, schedule): sources by code point, null last, take the schedules in turn.
+
+    A schedule gives weights at evenly spaced times from 0 to 1, at least two.
+    """
+    n = len(schedules)
+    known = sources.select("source").distinct()
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1  # one row for each source
+    turns = F.array(*[F.array(*[F.lit(float(w)) for w in s]) for s in schedules])
+    return known.withColumn("_place", place).select("source", F.element_at(turns, (F.col("_place") % n + 1).cast("int")).alias("schedule"))
 
 
 def integral(schedule: Column) -> Column:

@@ -66,30 +66,52 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id"""
 
 
+#: Their integrals are the weights 5, 2 and 1: early sources fade, late ones rise.
+SCHEDULES = ((8.0, 5.0, 2.0), (1.0, 2.0, 3.0), (0.5, 0.5, 2.5))
+
+
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = stored(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    mixed = curriculum(sized, cyclic_schedules(sized, (5.0, 2.0, 1.0)), share=1.5, most=2.0)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    mixed = curriculum(sized, cyclic_schedules(sized, SCHEDULES), share=1.5, most=2.0)
+    first, last = (F.round(F.try_element_at("copies", F.lit(i))["position"], 6) for i in (1, -1))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"), last.alias("last_position"))
+
+
+def _op3_sql() -> str:
+    def turn(what: tuple[float, ...]) -> str:
+        return "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 " + " ".join(f"WHEN {i} THEN {x}::DOUBLE" for i, x in enumerate(what)) + " END"
+
+    def within(u: str, v: str, area: str) -> str:
+        """The time after the start of a half at which its running integral reaches an area."""
+        return f"least(({area}) / 0.5 * 2 / nullif({u} + sqrt(greatest({u} * {u} + ({v} - {u}) * (({area}) / 0.5) * 2, 0)), 0), 1.0) * 0.5"
 
+    def position(words: str) -> str:
+        area = f"(({words}) * weight / target)"
+        half = "((u0 + u1) / 2 * 0.5)"
+        return f"round(CASE WHEN {area} < {half} THEN {within('u0', 'u1', area)} ELSE 0.5 + coalesce({within('u1', 'u2', f'{area} - {half}')}, 0.5) END, 6)"
 
-OP3_SQL = r"""
+    return rf"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size,
     coalesce(md5(doc_id::VARCHAR), '') AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS held FROM d GROUP BY source),
-w AS (SELECT *, 2.0::DOUBLE * held AS cap,
-    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
+w AS (SELECT *, 2.0::DOUBLE * held AS cap, {turn((5.0, 2.0, 1.0))} AS weight,
+    {", ".join(f"{turn(tuple(x[i] for x in SCHEDULES))} AS u{i}" for i in range(3))} FROM s),
 l AS (SELECT *, 1.5::DOUBLE * (sum(held) OVER ())::DOUBLE - coalesce(sum(cap) OVER before, 0) AS remaining,
     sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weights, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place
   FROM w WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT min(place) AS place FROM l WHERE weight * remaining <= cap * weights),
-t AS (SELECT l.source, l.held, CASE WHEN l.place < f.place THEN l.cap ELSE l.weight * x.remaining / x.weights END AS target
+t AS (SELECT l.source, l.held, l.weight, l.u0, l.u1, l.u2, CASE WHEN l.place < f.place THEN l.cap ELSE l.weight * x.remaining / x.weights END AS target
   FROM l, f, l AS x WHERE x.place = f.place),
-p AS (SELECT d.doc_id, d.size, t.held, t.target, floor(t.target)::BIGINT AS goal,
+p AS (SELECT d.doc_id, d.size, t.*, floor(t.target)::BIGINT AS goal,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, held AS source_size, target,
-  CASE WHEN held = 0 THEN 0 ELSE (goal // held) * size + greatest(0, least(goal % held - start, size)) END::BIGINT AS taken FROM p"""
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT *, CASE WHEN held = 0 THEN 0 ELSE goal // held END AS passes, CASE WHEN held = 0 THEN 0 ELSE greatest(0, least(goal % held - start, size)) END AS part FROM p)
+SELECT doc_id, size, held AS source_size, target, (passes * size + part)::BIGINT AS taken,
+  CASE WHEN passes * size + part > 0 THEN {position("start")} END AS first_position,
+  CASE WHEN passes * size + part > 0 THEN {position("(passes - CASE WHEN part > 0 THEN 0 ELSE 1 END) * held + start")} END AS last_position
+FROM g"""
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +233,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op1_minhash_forest": OP1_SQL,
     "op2_chat_formatting": OP2_SQL,
-    "op3_curriculum_mix": OP3_SQL,
+    "op3_curriculum_mix": _op3_sql(),
     "op6_url_filter": OP6_SQL,
     "op7_license_scan": _op7_sql(),
     "op8_onebit_neighbours": OP8_SQL,

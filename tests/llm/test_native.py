@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from echoloom.llm import chat_format as chat
+from echoloom.llm import chat_format as chat, entries
 from echoloom.llm.curriculum import curriculum, cyclic_schedules, integral, inverse_integral, targets, word_count
 from echoloom.llm.decontaminate import contamination, simhash
 from echoloom.llm.license_scan import BSD_HEAD, MIT, known_digests, license_scan
@@ -125,7 +125,7 @@ def test_curriculum(spark):
     rows = [(i, " ".join(["w"] * rnd.randrange(0, 60)), rnd.choice(["big"] * 6 + ["é", "b", None])) for i in range(400)]
     rows += [(7, "a b c", "big"), (None, "x y", "b"), (900, None, "b"), (901, "", "lone"), (902, "w " * 50_000, "long")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"target": F.lit("clash"), "size": word_count(F.col("text"))})
-    mixed = curriculum(docs, cyclic_schedules(docs))
+    mixed = curriculum(docs, cyclic_schedules(docs, entries.SCHEDULES))
     got = mixed.collect()
     assert len(got) == len(rows)
     sizes = Counter()
@@ -142,9 +142,9 @@ def test_curriculum(spark):
     assert all(abs(taken[s] - want[s]) < 1 for s in sizes)
     firsts = [r.copies[0].position for r in got if r.copies]
     assert firsts == sorted(firsts)
-    again = curriculum(docs.repartition(7), cyclic_schedules(docs)).collect()
+    again = curriculum(docs.repartition(7), cyclic_schedules(docs, entries.SCHEDULES)).collect()
     assert sorted((str(r.doc_id), r.size, r.taken) for r in got) == sorted((str(r.doc_id), r.size, r.taken) for r in again)
-    assert curriculum(docs.limit(0), cyclic_schedules(docs.limit(0))).count() == 0
+    assert curriculum(docs.limit(0), cyclic_schedules(docs.limit(0), entries.SCHEDULES)).count() == 0
 
 
 def test_curriculum_follows_time(spark):
