@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from echoloom.llm.curriculum import curriculum, word_count
+from echoloom.llm.curriculum import curriculum, cyclic_schedules, word_count
 from echoloom.llm.decontaminate import contamination
 from echoloom.llm.language_id import identify, train
 from echoloom.llm.minhash_forest import minhash_components
@@ -60,9 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     columns = [c for c in docs.columns if c not in ("copy", "words", "position")]
     sized = docs.select(F.struct(*columns).alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    sources = docs.select("source").distinct().withColumn("_n", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1)
-    turns = F.array(*[F.array(*map(F.lit, s)) for s in SCHEDULES])
-    schedules = stored(sources.select("source", F.element_at(turns, (F.col("_n") % len(SCHEDULES) + 1).cast("int")).alias("schedule")), "mix-schedules")
+    schedules = stored(cyclic_schedules(docs, SCHEDULES), "mix-schedules")
     mixed = curriculum(sized, schedules, share=1.5, most=2.0, ordered=False)
     # The outer form: else Catalyst infers a filter on the number of copies and computes them once more for it.
     copies = mixed.select("_row", "size", F.explode_outer("copies").alias("_c")).where("_c IS NOT NULL")
