@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,7 +24,8 @@ from echoloom.llm.textnum import mixed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_DOCS = 400  #: most training documents of a language
-MOST_LANGUAGES = 500  #: whose piece tables, 130 MB for so many, are broadcast
+SAMPLE_WORDS = 100_000  #: most different words of a language's sample, the most frequent ones
+MOST_LANGUAGES = 500  #: learned, the most frequent ones: their piece tables, 65 MB for so many, are broadcast
 ROUNDS = 4  #: of expectation maximisation
 SHARED, FLOOR = 0.05, 1e-8  #: weight of all languages' pieces in each language; least probability
 PART = 32
@@ -163,16 +165,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _fitter(vocabulary: str, rounds: int) -> Callable:
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        """Expected counts of all pieces under one language's words."""
+        pieces = public_pieces(vocabulary)
+        index, held = Pieces(pieces), Counter()
+        for word, n in zip(frame["word"], frame["n"], strict=True):
+            for p in parts_of(word):
+                held[p] += int(n)
+        words = sorted(held)
+        n, p = np.array([held[w] for w in words], float), np.full(len(pieces) + 1, 1.0 / len(pieces))
+        for _ in range(rounds):
+            found = expected_counts(words, n, index, p)
+            p = np.maximum(found / found.sum(), FLOOR)
+        return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "expected": [found.tolist()]})
+
+    return fit
+
+
 def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> LanguageModel:
     """Fit on at most ``sample_docs`` whole documents of each value of ``lang``.
 
     The sample is taken by a hash of doc_id among documents that are not held out and have
-    a text, a language and an id.  Only its word counts reach the driver.
+    a text, a language and an id.  Of a column with more than MOST_LANGUAGES values the most frequent
+    are learned (ties by name), and of a language's words the SAMPLE_WORDS most frequent.
+    Each language is fitted in a task of its own; the driver gets one number for each piece.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    known = usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(known) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    known = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     # Twice the sample by hash, in the scan, so that only such texts move; then exactly the sample.
     most = {r["lang"]: int(min(1.0, 2.0 * sample_docs / r["n"]) * (1 << 30)) for r in known}
     mark, share = F.xxhash64(F.lit(5), "doc_id"), F.lit(0)
@@ -180,26 +200,15 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMP
         share = F.element_at(F.create_map(*[F.lit(x) for kv in most.items() for x in kv]), F.col("lang"))
     drawn = usable.select("lang", "text", "doc_id").where(F.pmod(mark, F.lit(1 << 30)) < share)
     drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(mark, "doc_id"))).where(F.col("place") <= sample_docs)
-    counts = drawn.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    pieces, languages = public_pieces(vocabulary), sorted(counts["lang"].unique())
-    index = Pieces(pieces)
-    expected = []
-    for lang in languages:
-        own = counts[counts["lang"] == lang]
-        held: Counter = Counter()
-        for word, n in zip(own["word"], own["n"], strict=True):
-            for p in parts_of(word):
-                held[p] += int(n)
-        words, n = sorted(held), np.array([held[w] for w in sorted(held)], float)
-        p = np.full(len(pieces) + 1, 1.0 / len(pieces))
-        for _ in range(rounds):
-            found = expected_counts(words, n, index, p)
-            p = np.maximum(found / found.sum(), FLOOR)
-        expected.append(found)
+    counts = drawn.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= SAMPLE_WORDS)
+    fitted = counts.select("lang", "word", "n").groupBy("lang").applyInPandas(_fitter(vocabulary, rounds), "lang string, expected array<double>").toPandas().sort_values("lang")
+    pieces, languages = public_pieces(vocabulary), list(fitted["lang"])
     if not languages:
         return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)))
-    all_of = sum(e / e.sum() for e in expected) / len(expected)
-    table = np.stack([np.maximum((1 - SHARED) * e / e.sum() + SHARED * all_of, FLOOR) for e in expected], axis=1)
+    shares = [np.array(e) / np.sum(e) for e in fitted["expected"]]
+    all_of = sum(shares) / len(shares)
+    table = np.stack([np.maximum((1 - SHARED) * e + SHARED * all_of, FLOOR) for e in shares], axis=1)
     return LanguageModel(languages, pieces, table)
 
 

@@ -150,6 +150,16 @@ def test_odd_texts_and_nothing_learned(spark):
     assert {r.lang_pred for r in lid.identify(docs, none).collect()} == {"und"} and lid.identify(docs.limit(0), model).count() == 0
 
 
+def test_many_languages_and_words(spark, monkeypatch):
+    """A dirty column of languages and a text of many words stop nothing: the most frequent are learned."""
+    monkeypatch.setattr(lid, "MOST_LANGUAGES", 3)
+    monkeypatch.setattr(lid, "SAMPLE_WORDS", 50)
+    rows = [(i, f"alpha beta gamma {'delta ' * (i % 4)}", f"l{i % 3}") for i in range(0, 60)] + [(100 + i, "word", f"junk{i}") for i in range(40)]
+    rows.append((300, " ".join(f"x{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)), "l0"))
+    model = lid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["l0", "l1", "l2"] and np.allclose(model.table.sum(0), 1, atol=1e-2)
+
+
 # URL filter.
 
 
