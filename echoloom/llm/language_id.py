@@ -165,10 +165,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _fitter(vocabulary: str, rounds: int) -> Callable:
+def _fitter(known, rounds: int) -> Callable:  # noqa: ANN001  a broadcast of the pieces
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         """Expected counts of all pieces under one language's words."""
-        pieces = public_pieces(vocabulary)
+        pieces = known.value
         index, held = Pieces(pieces), Counter()
         for word, n in zip(frame["word"], frame["n"], strict=True):
             for p in parts_of(word):
@@ -202,8 +202,10 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMP
     drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(mark, "doc_id"))).where(F.col("place") <= sample_docs)
     counts = drawn.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= SAMPLE_WORDS)
-    fitted = counts.select("lang", "word", "n").groupBy("lang").applyInPandas(_fitter(vocabulary, rounds), "lang string, expected array<double>").toPandas().sort_values("lang")
-    pieces, languages = public_pieces(vocabulary), list(fitted["lang"])
+    pieces = public_pieces(vocabulary)
+    fit = _fitter(docs.sparkSession.sparkContext.broadcast(pieces), rounds)
+    fitted = counts.select("lang", "word", "n").groupBy("lang").applyInPandas(fit, "lang string, expected array<double>").toPandas().sort_values("lang")
+    languages = list(fitted["lang"])
     if not languages:
         return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)))
     shares = [np.array(e) / np.sum(e) for e in fitted["expected"]]

@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, functions as F
 
 from echoloom.llm.textnum import string_bytes
@@ -67,9 +68,9 @@ def allocated(ends: np.ndarray, low: np.ndarray, high: np.ndarray, rule: str) ->
     return np.interp(high, marks, count) - np.interp(low, marks, count)
 
 
-def _counter(vocabulary: str, rule: str, given: bool) -> Callable:
+def _counter(name: str, rule: str, given: bool) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sizes = tokenizer(vocabulary)
+        encode, sizes = tokenizer(SparkFiles.get(name))
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
@@ -123,7 +124,7 @@ def section_tokens(docs: DataFrame, spans: Column | None = None, rule: str = "fi
     structs (name, start, end) of character offsets, end exclusive.  Spans may overlap or
     leave gaps and are cut to the text; null spans are left out.  Without ``spans`` the
     sections are the lines, each with its line feed, and every token belongs to
-    exactly one.  Returns a row for each section: ``doc_id``, ``section`` (its name),
+    exactly one.  ``vocabulary`` is a file of the driver, which sends it to the executors.  Returns a row for each section: ``doc_id``, ``section`` (its name),
     ``section_no`` (from 0), ``char_start``, ``char_end``, ``n_tokens`` (whole unless the rule is ``split``) and
     ``doc_tokens``, the tokens of the whole document.
 
@@ -134,4 +135,5 @@ def section_tokens(docs: DataFrame, spans: Column | None = None, rule: str = "fi
         raise ValueError(f"no such rule: {rule}")
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     rows = docs.select(*columns, *([spans.alias("spans")] if spans is not None else []))
-    return rows.mapInArrow(_counter(vocabulary, rule, spans is not None), OUT)
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    return rows.mapInArrow(_counter(vocabulary.rsplit("/", 1)[-1], rule, spans is not None), OUT)
