@@ -59,18 +59,21 @@ def _listed(items: str, role: str, text: str, names: dict[str, str] | None = Non
 
 @dataclass(frozen=True)
 class Mapping:
-    """``required`` paths and any of ``optional`` ones lead to ``turns``; ``x[].y`` is a field of the structs in a list."""
+    """``main`` paths, all in the schema and at least one in the row, and any of ``optional`` ones lead to ``turns``.
+
+    ``x[].y`` is a field of the structs in a list.
+    """
 
     name: str
-    required: tuple[str, ...]
+    main: tuple[str, ...]
     optional: tuple[str, ...]
     turns: Callable[[Callable[[str], Column]], Column]
 
-    def fields(self) -> set[str]:
-        return {p.split("[")[0].split(".")[0] for p in (*self.required, *self.optional)}
-
     def fingerprints(self) -> list[str]:
-        return [fingerprint_of({*self.required, *extra}) for n in range(len(self.optional) + 1) for extra in combinations(self.optional, n)]
+        def some(paths: tuple[str, ...], least: int) -> list[tuple[str, ...]]:
+            return [x for n in range(least, len(paths) + 1) for x in combinations(paths, n)]
+
+        return [fingerprint_of({*a, *b}) for a in some(self.main, 1) for b in some(self.optional, 0)]
 
 
 def fingerprint_of(paths: set[str]) -> str:
@@ -78,8 +81,8 @@ def fingerprint_of(paths: set[str]) -> str:
 
 
 MAPPINGS = (
-    Mapping("messages", ("messages[].role",), ("messages[].content",), _listed("messages", "role", "content")),
-    Mapping("share", ("conversations[].from",), ("conversations[].value",), _listed("conversations", "from", "value", {"human": "user", "gpt": LOSS_ROLE})),
+    Mapping("messages", ("messages[].role", "messages[].content"), (), _listed("messages", "role", "content")),
+    Mapping("share", ("conversations[].from", "conversations[].value"), (), _listed("conversations", "from", "value", {"human": "user", "gpt": LOSS_ROLE})),
     Mapping("prompt_response", ("prompt", "response"), ("system",), _two("prompt", "response", system="system")),
     Mapping("prompt_completion", ("prompt", "completion"), ("system",), _two("prompt", "completion", system="system")),
     Mapping("instruction", ("instruction", "output"), ("input", "system"), _two("instruction", "output", "input", "system")),
@@ -106,7 +109,7 @@ def _nth_present(kind: T.DataType, i: int) -> Callable[[Column], Column]:
 
 def fingerprint(payload: str, kind: T.StructType, known: set[str]) -> Column:
     """Hash of the nested paths that a row's payload holds, of those any mapping knows."""
-    found = sorted((p, c) for p, c in ((p.replace("[].", "[]."), c) for p, c in _present(F.col(payload), kind, "")) if p in known)
+    found = sorted((p, c) for p, c in _present(F.col(payload), kind, "") if p in known)
     return F.md5(F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(p)) for p, c in found] or [F.lit(None).cast("string")])), "\n"))
 
 
@@ -115,15 +118,16 @@ def canonical_turns(rows: DataFrame, payload: str = "payload", mappings: tuple[M
 
     A payload whose paths fit no mapping, or that is null, keeps its row with null
     ``layout`` and ``turns``.  Paths that no mapping speaks of are ignored.  A null
-    text is empty; a null role is empty.
+    text is empty, a prompt or an answer too; a null role is empty.  A row that fits several
+    mappings, as one with a prompt alone may, goes to the first.
     """
     kind = rows.schema[payload].dataType
-    known = {p for m in mappings for p in (*m.required, *m.optional)}
+    known = {p for m in mappings for p in (*m.main, *m.optional)}
     have = {p for p, _ in _present(F.col(payload), kind, "")}
-    usable = [m for m in mappings if {*m.required} <= have]
+    usable = [m for m in mappings if {*m.main} <= have]
     named = rows.withColumn("layout", F.lit(None).cast("string"))
     if usable:
-        of = {f: m.name for m in usable for f in m.fingerprints()}
+        of = {f: m.name for m in reversed(usable) for f in m.fingerprints()}  # what fits several goes to the first
         table = F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
         named = rows.withColumn("layout", F.element_at(table, fingerprint(payload, kind, known)))
     turns = F.lit(None).cast(TURNS)
