@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from echoloom.llm.chat_format import digests, format_chats, gathered
 from echoloom.llm.curriculum import curriculum, cyclic_schedules, word_count
 from echoloom.llm.decontaminate import contamination
-from echoloom.llm.license_scan import SPELLINGS, known_texts, license_scan
+from echoloom.llm.license_scan import SPELLINGS, WHOLE_DIGESTS, known_texts, license_scan
 from echoloom.llm.language_id import held_out, identify, train
 from echoloom.llm.minhash_forest import minhash_components
 from echoloom.llm.onebit_ann import nearest
@@ -132,8 +132,11 @@ def _op7_sql() -> str:
 
     whole = "array_to_string(list_filter(lines, lambda x: x <> ''), ' ')"
     values = ", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in known_texts())
+    digests = ", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in WHOLE_DIGESTS)
     return f"""
-WITH known AS (SELECT md5({whole}) AS digest, min(license_id) AS license_id FROM (SELECT license_id, {canonical("said")} AS lines FROM (VALUES {values}) AS v(license_id, said)) GROUP BY 1),
+WITH listed AS (SELECT md5({whole}) AS digest, license_id FROM (SELECT license_id, {canonical("said")} AS lines FROM (VALUES {values}) AS v(license_id, said))
+  UNION ALL SELECT * FROM (VALUES {digests}) AS v(digest, license_id)),
+known AS (SELECT digest, min(license_id) AS license_id FROM listed GROUP BY 1),
 d AS (SELECT doc_id, {canonical("coalesce(text, '')")} AS lines FROM documents),
 u AS (SELECT doc_id, 0 AS line_no, {whole} AS unit FROM d
   UNION ALL SELECT doc_id, unnest(range(1, len(lines) + 1)) AS line_no, unnest(lines) AS unit FROM d WHERE len(list_filter(lines, lambda x: x <> '')) > 1)

@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from echoloom.llm import minhash_forest as forest
 from echoloom.llm.minhash_forest import minhash_components
 
 
@@ -107,3 +108,32 @@ def test_links_that_only_a_dense_region_holds(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_components(docs, 3, 85, 100).collect()}
     assert out == brute(rows, 3, 85, 100)
+
+
+def test_sparse_links_of_boilerplate(spark, monkeypatch):
+    """Pages of one boilerplate, dense in every order, with planted pairs just above the threshold and unlike all others: none is lost."""
+    monkeypatch.setattr(forest, "REGION", 16)
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(20_000)}" for _ in range(400)]
+
+    def edited(x, n):
+        x = list(x)
+        for at in rnd.sample(range(len(x)), n):
+            x[at] = f"w{rnd.randrange(20_000)}"
+        return x
+
+    def similarity(a, b):
+        a, b = ({tuple(x[i : i + 3]) for i in range(len(x) - 2)} for x in (a, b))
+        return len(a & b) / len(a | b)
+
+    docs, pairs = [edited(base, 8) for _ in range(500)], []
+    for i in range(500):
+        other = next((y for n in (10, 9, 8) if 0.856 <= similarity(docs[i], y := edited(docs[i], n)) <= 0.872), None)
+        if other:
+            docs.append(other)
+            pairs.append((i, len(docs) - 1))
+        if len(pairs) == 40:
+            break
+    frame = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in forest.minhash_components(frame, 3, 85, 100).collect()}
+    assert len(pairs) == 40 and [got[b] for _, b in pairs] == [a for a, _ in pairs]

@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,10 @@ def test_layouts_are_told_by_their_fingerprints(spark):
         '{"question":"q"}',
         '{"unknown":1}',
         '{"messages":[]}',
+        '{"prompt":"q"}',
+        '{"response":"a"}',
+        '{"prompt":"q","system":"s"}',
+        '{"messages":[{"content":"c"}]}',
     ]
     frame = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "id int, raw string")
     schema = (
@@ -54,7 +59,12 @@ def test_layouts_are_told_by_their_fingerprints(spark):
     assert got[4][:2] == ("instruction", [("user", "do\n\nthis"), ("assistant", "a")])
     assert got[5][1] == [("user", "do"), ("assistant", "a")]
     assert got[6][0] == "question_answer"
-    assert [got[i] for i in (7, 8, 9)] == [(None, None, None)] * 3
+    assert got[7][:2] == ("question_answer", [("user", "q"), ("assistant", "")])
+    assert [got[i] for i in (8, 9)] == [(None, None, None)] * 2
+    assert got[10][:2] == ("prompt_response", [("user", "q"), ("assistant", "")])
+    assert got[11][:2] == ("prompt_response", [("user", ""), ("assistant", "a")])
+    assert got[12][:2] == ("prompt_response", [("system", "s"), ("user", "q"), ("assistant", "")])
+    assert got[13][:2] == ("messages", [("", "c")])
     lone = spark.createDataFrame([(1, ("q", "a"))], "id int, payload struct<prompt:string,response:string>")
     assert chat.format_chats(lone).first().layout == "prompt_response"
     assert chat.format_chats(lone.limit(0)).count() == 0
@@ -182,6 +192,12 @@ def test_license_scan(spark):
     want += [(4, "text", 0, "MIT"), (4, "text", 0, "MIT"), (None, "text", 0, "GPL-3.0")]
     assert got == sorted(want, key=str)
     assert license_scan(docs(*rows).limit(0)).count() == 0
+    folder = Path("/usr/share/common-licenses")  # where the machine has them
+    whole = [(i, (folder / n).read_text()) for i, n in enumerate(("Apache-2.0", "GPL-3", "LGPL-2.1", "MPL-2.0")) if (folder / n).is_file()]
+    if len(whole) == 4:
+        again = [(i + 4, " ".join(t.upper().split()) if "opyright" not in t else t.replace("\n", "\r\n")) for i, t in whole]
+        found = {r.doc_id: r.license_id for r in license_scan(docs(*whole, *again)).where("scope = 'text'").collect()}
+        assert found == {i + d: n for d in (0, 4) for i, n in enumerate(("Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"))}
     own = known_digests(spark, [("Own", "Be  KIND, always")])
     assert [r.license_id for r in license_scan(docs((1, "be kind always!")), own).collect()] == ["Own"]
 
