@@ -14,7 +14,7 @@ from echoloom.operators.extract import split_symbols, tagged_symbols
 from echoloom.operators.ranking import numbered
 from echoloom.operators.rewrite import rewrite_files
 from echoloom.operators.symbols import base26, module_roots, project_index, rename_map, rename_targets, reserved_names, symbol_rows
-from echoloom.plans.bindings import BROKEN, KEY, PATH, RECORDS, SOURCES, joined, records, sources, views
+from echoloom.plans.bindings import BROKEN, KEY, PAGE_RECORDS, PART_RECORDS, PATH, RECORDS, joined, page_records, part_records, records, sources, views
 from echoloom.plans.report import record_json, report_rows
 from echoloom.scratch import scratch_path, stored
 from echoloom.sources.store import RunStore, eligible_of_run, record_counts, run_status
@@ -58,13 +58,14 @@ def exact_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(one_run(spark, sf_dir))[1].select("group_id", "record_id", "kind", "file_path", fingerprint(F.col("normalized_code")).alias("md5sum"), "best_ratio", "md5_overlap")
 
 
-# Similar pairs inside each run.  The SQL finds the subsequence bit by bit, so texts stay below 125 characters.
+# Similar pairs inside each run.  The SQL finds the subsequence bit by bit in numbers of 127 bits, which hold whole
+# intents of pages and whole code of parts; whole texts of documents are beyond it.
 
 
-def edges_sql(text: str, threshold: float, where: str = "true") -> str:
+def edges_sql(rows: str, text: str, threshold: float, where: str = "true") -> str:
     """CTEs up to ``edges`` (run_id, left_id, right_id, ratio, md5_match)."""
     return f"""
-WITH RECURSIVE r AS (SELECT run_id, record_id, md5sum, {text} AS t FROM ({RECORDS}) WHERE {where}),
+WITH RECURSIVE r AS (SELECT run_id, record_id, md5sum, {text} AS t FROM ({rows}) WHERE {where}),
 p AS (SELECT a.run_id, a.record_id AS left_id, b.record_id AS right_id, a.t AS x, b.t AS y, a.md5sum = b.md5sum AS md5_match
   FROM r a JOIN r b ON a.run_id = b.run_id AND a.record_id < b.record_id),
 l AS (
@@ -77,53 +78,42 @@ scored AS (SELECT run_id, left_id, right_id, CASE WHEN total = 0 THEN 1.0::DOUBL
 edges AS (SELECT * FROM scored WHERE ratio >= {threshold})"""
 
 
-INTENT, CODE = "coalesce(intent, '')", "substr(normalized_code, 1, 100)"
+INTENT, CODE = "coalesce(intent, '')", "normalized_code"
+FUNCTIONS = "kind IN ('function', 'method')"
 
 
-@query(f"{edges_sql(INTENT, THRESHOLD)} SELECT * FROM edges")
+@query(f"{edges_sql(PAGE_RECORDS, INTENT, THRESHOLD)} SELECT * FROM edges")
 def intent_ratio_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return record_edges(records(spark, sf_dir), comparable_intent(F.col("intent")), THRESHOLD)
+    return record_edges(page_records(spark, sf_dir), comparable_intent(F.col("intent")), THRESHOLD)
 
 
-@query(f"{edges_sql(CODE, 0.7, "kind IN ('function', 'method')")} SELECT * FROM edges")
+@query(f"{edges_sql(PART_RECORDS, CODE, THRESHOLD, FUNCTIONS)} SELECT * FROM edges")
 def code_ratio_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return record_edges(eligible(records(spark, sf_dir)), F.expr(CODE), 0.7)
+    return record_edges(eligible(part_records(spark, sf_dir)), F.col("normalized_code"), THRESHOLD)
 
 
-@query(f"{edges_sql(INTENT, 1.0, 'intent IS NULL')} SELECT run_id, count(*) AS pairs, min(ratio) AS least FROM edges GROUP BY run_id")
+@query(f"{edges_sql(PAGE_RECORDS, INTENT, 1.0, 'intent IS NULL')} SELECT run_id, count(*) AS pairs, min(ratio) AS least FROM edges GROUP BY run_id")
 def null_intent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = record_edges(records(spark, sf_dir).where("intent IS NULL"), comparable_intent(F.col("intent")), 1.0)
+    edges = record_edges(page_records(spark, sf_dir).where("intent IS NULL"), comparable_intent(F.col("intent")), 1.0)
     return edges.groupBy("run_id").agg(F.count("*").alias("pairs"), F.min("ratio").alias("least"))
 
 
 SWEEP = (0.5, 0.7, 0.85, 1.0)
-
-
 SWEEP_OUT = " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, count(*) AS pairs FROM edges WHERE ratio >= {t}" for t in SWEEP)
 
 
-def _sweep(rows: DataFrame) -> DataFrame:
-    rows, out = stored(rows, "sweep"), None
+@query(f"{edges_sql(PAGE_RECORDS, INTENT, 0.5)} {SWEEP_OUT}")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, out = stored(page_records(spark, sf_dir), "sweep"), None
     for t in SWEEP:
         one = record_edges(rows, comparable_intent(F.col("intent")), t).agg(F.count("*").alias("pairs")).select(F.lit(t).alias("threshold"), "pairs")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query(f"{edges_sql(INTENT, 0.5, 'run_id < 5')} {SWEEP_OUT}")
-def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sweep(records(spark, sf_dir).where("run_id < 5"))
-
-
-@query(f"{edges_sql(INTENT, 0.5)} {SWEEP_OUT}")
-def threshold_sweep_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All runs."""
-    return _sweep(records(spark, sf_dir))
-
-
-def groups_sql(text: str, threshold: float, where: str) -> str:
+def groups_sql(rows: str, text: str, threshold: float, where: str) -> str:
     """CTEs up to ``labelled`` (run_id, record_id, component, group_id)."""
-    return f"""{edges_sql(text, threshold, where)},
+    return f"""{edges_sql(rows, text, threshold, where)},
 incidence AS (SELECT run_id, left_id AS a, right_id AS b, ratio, md5_match FROM edges UNION ALL SELECT run_id, right_id, left_id, ratio, md5_match FROM edges),
 reach AS (SELECT a AS record_id, a AS other FROM incidence UNION SELECT reach.record_id, incidence.b FROM reach JOIN incidence ON reach.other = incidence.a),
 comp AS (SELECT record_id, min(other) AS component FROM reach GROUP BY record_id),
@@ -133,7 +123,6 @@ paired AS (SELECT component, count(*) AS pair_count, count(*) FILTER (md5_match)
 incident AS (SELECT a AS record_id, max(ratio) AS best_ratio, round(avg(ratio), 9) AS avg_ratio, bool_or(md5_match) AS md5_overlap FROM incidence GROUP BY a)"""
 
 
-FUNCTIONS = "kind IN ('function', 'method')"
 GROUPS_OUT = " SELECT run_id, group_id, member_count, pair_count, md5_overlap_pairs FROM sized JOIN paired USING (component)"
 MEMBERS_OUT = " SELECT run_id, group_id, record_id, best_ratio, avg_ratio, md5_overlap FROM labelled JOIN incident USING (record_id)"
 
@@ -147,34 +136,34 @@ def _members(result: tuple[DataFrame, DataFrame]) -> DataFrame:
 
 
 def intent_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return fuzzy_groups(eligible(records(spark, sf_dir)), comparable_intent(F.col("intent")), "fuzzy", THRESHOLD)
+    return fuzzy_groups(eligible(page_records(spark, sf_dir)), comparable_intent(F.col("intent")), "fuzzy", THRESHOLD)
 
 
-def code_groups(spark: SparkSession, sf_dir: str, code: str = CODE) -> tuple[DataFrame, DataFrame]:
-    return fuzzy_groups(eligible(records(spark, sf_dir)), F.expr(code), "normalized_code_fuzzy", 0.7)
+def code_groups(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    return fuzzy_groups(eligible(rows), F.col("normalized_code"), "normalized_code_fuzzy", threshold)
 
 
-@query(groups_sql(INTENT, THRESHOLD, FUNCTIONS) + GROUPS_OUT)
+@query(groups_sql(PAGE_RECORDS, INTENT, THRESHOLD, FUNCTIONS) + GROUPS_OUT)
 def fuzzy_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(intent_groups(spark, sf_dir))
 
 
-@query(groups_sql(INTENT, THRESHOLD, FUNCTIONS) + MEMBERS_OUT)
+@query(groups_sql(PAGE_RECORDS, INTENT, THRESHOLD, FUNCTIONS) + MEMBERS_OUT)
 def fuzzy_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _members(intent_groups(spark, sf_dir))
 
 
-@query(groups_sql(CODE, 0.7, FUNCTIONS) + GROUPS_OUT)
+@query(groups_sql(PART_RECORDS, CODE, THRESHOLD, FUNCTIONS) + GROUPS_OUT)
 def code_fuzzy_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _groups(code_groups(spark, sf_dir))
+    return _groups(code_groups(part_records(spark, sf_dir), THRESHOLD))
 
 
-@query(groups_sql(CODE, 0.7, FUNCTIONS) + MEMBERS_OUT)
+@query(groups_sql(PART_RECORDS, CODE, THRESHOLD, FUNCTIONS) + MEMBERS_OUT)
 def code_fuzzy_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _members(code_groups(spark, sf_dir))
+    return _members(code_groups(part_records(spark, sf_dir), THRESHOLD))
 
 
-# The same on whole code, which is beyond what the SQL's bits hold.
+# The same on the texts of documents, which are beyond what the SQL's bits hold.
 
 
 @query()
@@ -184,24 +173,24 @@ def code_ratio_edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def code_fuzzy_group_sizes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _groups(code_groups(spark, sf_dir, "normalized_code"))
+    return _groups(code_groups(records(spark, sf_dir), 0.7))
 
 
 @query()
 def code_fuzzy_members_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _members(code_groups(spark, sf_dir, "normalized_code"))
+    return _members(code_groups(records(spark, sf_dir), 0.7))
 
 
-@query(groups_sql(INTENT, THRESHOLD, "true") + " SELECT record_id AS node, component FROM comp")
+@query(groups_sql(PAGE_RECORDS, INTENT, THRESHOLD, "true") + " SELECT record_id AS node, component FROM comp")
 def fuzzy_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(record_edges(records(spark, sf_dir), comparable_intent(F.col("intent")), THRESHOLD))
+    return connected_components(record_edges(page_records(spark, sf_dir), comparable_intent(F.col("intent")), THRESHOLD))
 
 
 REPORT_SQL = (
-    groups_sql(INTENT, THRESHOLD, FUNCTIONS)
+    groups_sql(PAGE_RECORDS, INTENT, THRESHOLD, FUNCTIONS)
     + f""" SELECT l.run_id, 'fuzzy' AS match_type, group_id, l.record_id, kind, file_path, coalesce(signature, 'None') AS signature, coalesce(intent, 'None') AS said,
   start_line || '-' || end_line AS lines, printf('%.4f', best_ratio) AS best_ratio, CASE WHEN md5_overlap THEN 'yes' ELSE 'no' END AS md5_overlap
-FROM labelled l JOIN incident USING (record_id) JOIN ({RECORDS}) AS x USING (record_id)"""
+FROM labelled l JOIN incident USING (record_id) JOIN ({PAGE_RECORDS}) AS x USING (record_id)"""
 )
 
 
@@ -247,13 +236,13 @@ def assign_record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(records(spark, sf_dir).select("file_path"), "file_path", name="assigned", start=1001)
 
 
-PERSISTED_SQL = f"SELECT row_number() OVER (ORDER BY file_path) AS record_id, file_path, kind, md5sum FROM ({RECORDS}) WHERE run_id = 3"
+PERSISTED_SQL = f"SELECT row_number() OVER (ORDER BY file_path) AS record_id, file_path, kind, md5sum FROM ({RECORDS})"
 
 
 @query(f"SELECT * FROM ({PERSISTED_SQL}) WHERE {FUNCTIONS}")
 def persist_and_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = RunStore(spark, scratch_path(spark, "store"))
-    rows = records(spark, sf_dir).where("run_id = 3").withColumn("seq", F.lit(0))
+    rows = records(spark, sf_dir).withColumn("seq", F.lit(0))
     run = store.persist(rows, 0, "/", "offline", "none", "all", 10)
     return store.load(run["run_id"]).select("record_id", "file_path", "kind", "md5sum")
 
