@@ -6,6 +6,7 @@ Exit code 2 stands for unusable arguments or a phase that failed; its reason is
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 import time
 from collections.abc import Callable
@@ -104,8 +105,8 @@ def _asked(args: argparse.Namespace, records: Callable[[], tuple[DataFrame, Data
 
 
 def _client(args: argparse.Namespace) -> Callable[[], Client]:
-    url, model = args.provider_url, args.model
-    return lambda: chosen_client(url, model)
+    url, model, key = args.provider_url, args.model, os.environ.get("OPENAI_API_KEY", "")
+    return lambda: chosen_client(url, model, key)
 
 
 def _tell_errors(errors: DataFrame, err: TextIO) -> int:

@@ -8,10 +8,10 @@ a row for each group and ``members`` a row for each record in it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from echoloom.operators.components import connected_components
-from echoloom.operators.ranking import numbered
+from echoloom.operators.ranking import numbered, running_sums
 from echoloom.operators.similar_pairs import checked_threshold, similar_pairs
 from echoloom.scratch import stored
 
@@ -142,10 +142,9 @@ def progress_ticks(calls: DataFrame, every: int) -> DataFrame:
 
     ``calls`` has ``n`` (1, 2, ... without gaps), ``elapsed`` seconds and ``failed`` (0 or 1).
     """
-    run = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.max("n").over(Window.partitionBy())
-    mean = F.sum("elapsed").over(run) / F.col("n")
-    out = calls.select("n", total.alias("total"), F.sum("failed").over(run).alias("failed"), mean.alias("mean_seconds"))
+    sums = running_sums(calls.select("n", "elapsed", F.col("failed").cast("long").alias("failed")), "n", "elapsed", "failed")
+    total = F.lit(sums.agg(F.max("n")).first()[0]).cast("long")
+    out = sums.select("n", total.alias("total"), "failed", (F.col("elapsed") / F.col("n")).alias("mean_seconds"))
     percent = F.when(F.col("total") == 0, 100.0).otherwise(F.col("n") * 100.0 / F.col("total"))
     out = out.withColumns({"percent": percent, "eta_seconds": F.bround((F.col("total") - F.col("n")) * F.col("mean_seconds")).cast("long")})
     return out.where((F.col("n") % every == 0) | (F.col("n") == F.col("total")))

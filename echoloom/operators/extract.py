@@ -57,8 +57,8 @@ def _extractor(analyzers: dict[str, Analyzer]) -> Callable:
                     continue
                 try:
                     rows += [(kind, path, signature, start, end, raw, i, None) for i, (kind, signature, start, end, raw) in enumerate(list(analyze(content)))]
-                except (SyntaxError, ValueError, RecursionError) as fault:
-                    rows.append((None, path, None, None, None, None, 0, str(fault)))
+                except (SyntaxError, ValueError, RecursionError, MemoryError) as fault:
+                    rows.append((None, path, None, None, None, None, 0, str(fault) or "nested too deeply"))
             yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return extract

@@ -302,6 +302,8 @@ def rewritten(source: str, names: Names) -> tuple[str, int, int, int]:
         return ast.unparse(ast.fix_missing_locations(tree)) + "\n", file.renamed, file.local, file.dynamic
     except (SyntaxError, ValueError) as fault:
         raise RewriteError(str(fault)) from fault
+    except (RecursionError, MemoryError) as fault:  # the parser gives up with the latter
+        raise RewriteError(f"nested too deeply: {fault}") from fault
 
 
 def symbol_table(index: DataFrame, mapped: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def facts_of(source: str, roots: set[str]) -> dict[str, set[str]]:
 
 
 def symbol_rows(files: DataFrame, roots: list[str]) -> DataFrame:
-    """(file_path, category, name) for every file of (file_path, content); files that do not parse give none.
+    """(file_path, category, name) for every file of (file_path, content); files that do not parse, or nest too deeply, give none.
 
     ``roots`` are the project's module roots, a name for each top-level module.
     """
@@ -143,7 +143,7 @@ def symbol_rows(files: DataFrame, roots: list[str]) -> DataFrame:
             for path, content in zip(frame["file_path"], frame["content"], strict=True):
                 try:
                     facts = facts_of(content, own) if content is not None else {}
-                except (SyntaxError, ValueError):
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
                     continue
                 rows += [(path, category, name) for category, names in facts.items() for name in sorted(names)]
             yield pd.DataFrame(rows, columns=["file_path", "category", "name"], dtype=object)

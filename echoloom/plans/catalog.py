@@ -18,7 +18,7 @@ from echoloom.plans.bindings import BROKEN, KEY, PAGE_RECORDS, PART_RECORDS, PAT
 from echoloom.plans.report import record_json, report_rows
 from echoloom.scratch import scratch_path, stored
 from echoloom.sources.store import RunStore, eligible_of_run, record_counts, run_status
-from echoloom.sources.tree import IgnoreRules
+from echoloom.sources.tree import IgnoreRules, rebased
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -453,18 +453,28 @@ def rewrite_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rewritten(spark, sf_dir).select("file_path", "transformed_source", "unchanged")
 
 
-# Ignore rules on generated paths.
+@query(f"SELECT count(*) AS python_files, count(*) FILTER ({BROKEN}) AS failed, 20 * count(*) FILTER (NOT ({BROKEN})) AS symbols_renamed, count(*) FILTER (NOT ({BROKEN})) AS symbols_renamed_likely_local, count(*) FILTER (NOT ({BROKEN})) AS dynamic_name_rewrites FROM part")
+def rewrite_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over a project."""
+    sums = {"symbols_renamed": "symbols_renamed", "likely_local_rewrites": "symbols_renamed_likely_local", "dynamic_name_rewrites": "dynamic_name_rewrites"}
+    return _rewritten(spark, sf_dir).agg(F.count("*").alias("python_files"), F.count_if(F.col("error").isNotNull()).alias("failed"), *[F.sum(c).alias(n) for c, n in sums.items()])
+
+
+# Ignore rules on generated paths: a root file's and those of a nested folder, put below it.
 
 RULES = ["# comment", "*.log", "build/", "/top.txt", "!keep.log", "docs/*.md"]
-PATHS = "array('a.log', 'keep.log', 'x/b.log', 'build/z.py', 'x/build/y', 'top.txt', 'x/top.txt', 'docs/a.md', 'docs/b/a.md', 'src/m.py')"
+NESTED = ["*.tmp", "/a?.c", "!keep.log", "old/"]
+TAILS = ["a.log", "keep.log", "x/b.log", "build/z.py", "x/build/y", "top.txt", "x/top.txt", "docs/a.md", "docs/b/a.md", "src/m.py", "p.tmp", "x/p.tmp", "sub/p.tmp", "sub/x/p.tmp", "sub/ab.c", "sub/abc.c", "sub/x/ab.c", "sub/old/f", "sub/x/old/f", "sub/d.log"]
 
 
 @query(
-    "WITH p AS (SELECT page_id, unnest(['a.log', 'keep.log', 'x/b.log', 'build/z.py', 'x/build/y', 'top.txt', 'x/top.txt', 'docs/a.md', 'docs/b/a.md', 'src/m.py']) AS tail FROM pages) "
-    "SELECT 'p' || page_id || '/' || tail AS path, (tail LIKE '%.log' AND NOT tail LIKE '%keep.log') OR tail LIKE 'build/%' OR tail LIKE '%/build/%' AS ignored FROM p"
+    f"WITH p AS (SELECT page_id, unnest({TAILS}) AS tail FROM pages), "
+    "f AS (SELECT 'p' || page_id || '/' || tail AS path, '/' || tail AS t FROM p) "
+    "SELECT path, (t LIKE '%.log' AND NOT t LIKE '%/keep.log') OR t LIKE '%/build/%' OR regexp_matches(path, '^p0/(sub)/[^/]*[.]tmp$|^p0/sub/a.[.]c$|^p0/sub/old/') AS ignored FROM f"
 )
 def ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir, "pages")
-    rules = IgnoreRules(RULES)
-    ignored = F.udf(lambda p: rules.matches(p, False), "boolean", useArrow=True)
-    return spark.sql(f"SELECT concat('p', page_id, '/', tail) AS path FROM pages LATERAL VIEW explode({PATHS}) AS tail").select("path", ignored("path").alias("ignored"))
+    rules = IgnoreRules([*RULES, *(rebased(x, "p0/sub") for x in NESTED)])
+    tails = ", ".join(f"'{x}'" for x in TAILS)
+    paths = spark.sql(f"SELECT concat('p', page_id, '/', tail) AS path FROM pages LATERAL VIEW explode(array({tails})) AS tail")
+    return paths.select("path", rules.column(F.col("path")).alias("ignored"))

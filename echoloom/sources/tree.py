@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 PATHS = "root string, file_path string"
 FILES = "file_path string, content string, error string"
@@ -66,6 +66,13 @@ class IgnoreRules:
                 return ignores
         return False
 
+    def column(self, path: Column) -> Column:
+        """Whether files are ignored, for a column of paths below the root, in generated code."""
+        clean, out = F.regexp_replace(path, "^/+|/+$", ""), F.lit(False)
+        for pattern, ignores in self.rules:  # a later rule goes around the earlier ones
+            out = F.when(clean.rlike(f"(?s){pattern.pattern}"), ignores).otherwise(out)
+        return F.coalesce((clean != "") & out, F.lit(False))
+
     def matches(self, path: str, is_dir: bool) -> bool:
         clean = path.replace(os.sep, "/").strip("/")
         return bool(clean) and (self._decided(clean) or (is_dir and self._decided(clean + "/")))

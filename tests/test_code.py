@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from echoloom import cli
+from echoloom import cli, scratch
 from echoloom.functions.normalize import normalized, without_blank_lines, without_comment_lines
 from echoloom.operators.enrich import IntentError, OfflineClient, OllamaClient, OpenAIClient, chosen_client, enriched, normalized_provider, parsed_scopes
 from echoloom.operators.extract import built_records, split_symbols, symbols_of, tagged_symbols
@@ -233,3 +233,27 @@ def test_commands(spark, tmp_path):
         ["unknown"],
     ):
         assert call(spark, *argv)[0] == 2, argv
+
+
+def test_ignore_rules_as_a_column(spark):
+    rules = IgnoreRules(["*.log", "!keep.log", "/top", "a/**/z", "b[!x]?.c", "dir/", "\\#odd", "*.[ch]pp", "deep/**"])
+    paths = ["x.log", "a/keep.log", "top", "x/top", "a/z", "a/b/c/z", "by1.c", "bx1.c", "dir/f", "x/dir/g/h", "dir", "#odd", "m.hpp", "m.xpp", "deep/f", "deep", "/x.log/", "", "é.log", "line\nbreak.log"]
+    frame = spark.createDataFrame([(p,) for p in paths] + [(None,)], "path string")
+    got = {r.path: r.i for r in frame.select("path", rules.column(frame.path).alias("i")).collect()}
+    assert got.pop(None) is False and got == {p: rules.matches(p, False) for p in paths}
+
+
+def test_intermediates_need_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Conf())
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(Session)

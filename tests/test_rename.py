@@ -5,6 +5,7 @@ import io
 import pytest
 
 from echoloom import cli
+from echoloom.operators.extract import split_symbols, tagged_symbols
 from echoloom.operators.rewrite import Names, RewriteError, rewrite_files, rewritten
 from echoloom.operators.symbols import alphabetic, base26, facts_of, module_roots, project_index, rename_map, reserved_names, symbol_rows
 
@@ -127,3 +128,15 @@ def test_obfuscate_command(spark, tmp_path):
         argv = [str(a) for a in argv] + ([] if "--output" in argv else ["--output", str(tmp_path / "o3")])
         assert cli.run(["obfuscate", *argv], io.StringIO(), err, spark) == 2
     assert "Transform failed: bad.py" in err.getvalue()
+
+
+def test_deep_sources_are_error_rows(spark):
+    """Trees too deep to walk or parse fail alone, in every operator on sources."""
+    deep = [("m/sum.py", "x = " + "+".join(["1"] * 5000) + "\n"), ("m/minus.py", "x = " + "-" * 20_000 + "1\n"), ("m/ok.py", "def f(): pass\n"), ("m/calls.py", "x = " + "f(" * 90 + ")" * 90 + "\n")]
+    frame = spark.createDataFrame(deep, "file_path string, content string")
+    index = project_index(symbol_rows(frame, ["m"]))
+    assert {"f"} <= {r.name for r in index.collect()}
+    done = {r.file_path: r for r in rewrite_files(frame, index, rename_map(index)).collect()}
+    assert [done[p].error is None for p in ("m/sum.py", "m/minus.py", "m/ok.py", "m/calls.py")] == [False, False, True, True]
+    symbols, errors = split_symbols(tagged_symbols(frame))
+    assert {r.file_path for r in errors.collect()} >= {"m/minus.py"} and {r.file_path for r in symbols.collect()} >= {"m/ok.py", "m/calls.py"}
