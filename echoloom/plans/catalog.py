@@ -14,6 +14,7 @@ from echoloom.operators.extract import split_symbols, tagged_symbols
 from echoloom.operators.ranking import numbered
 from echoloom.operators.rewrite import rewrite_files
 from echoloom.operators.symbols import base26, module_roots, project_index, rename_map, rename_targets, reserved_names, symbol_rows
+from echoloom.plans import features
 from echoloom.plans.bindings import BROKEN, KEY, PAGE_RECORDS, PART_RECORDS, PATH, RECORDS, joined, page_records, part_records, records, sources, views
 from echoloom.plans.report import record_json, report_rows
 from echoloom.scratch import scratch_path, stored
@@ -424,16 +425,21 @@ def base26_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(20000).select("id", base26(F.col("id")).alias("name"))
 
 
-MAP_SQL = f"""
-WITH RECURSIVE i AS ({INDEX_SQL}), t AS ({TARGETS_SQL}),
-taken AS (SELECT name FROM t UNION SELECT name FROM i WHERE category = 'external' UNION SELECT unnest([{', '.join(f"'{x}'" for x in reserved_names())}])),
+RESERVED = f"SELECT unnest([{', '.join(f"'{x}'" for x in reserved_names())}]) AS name"
+
+
+def map_sql(index: str) -> str:
+    """The rename map of an index: the i-th target gets the i-th name that is not taken."""
+    return f"""
+WITH RECURSIVE i AS ({index}), t AS (SELECT DISTINCT name FROM i WHERE category IN ('candidate', 'attribute') AND name NOT IN (SELECT name FROM i WHERE category = 'external')),
+taken AS (SELECT name FROM t UNION SELECT name FROM i WHERE category = 'external' UNION {RESERVED}),
 b AS (SELECT range AS id, range AS n, '' AS s FROM range(100000) UNION ALL SELECT id, n // 26 - 1, chr((97 + n % 26)::INTEGER) || s FROM b WHERE n >= 0),
 free AS (SELECT s AS new_name, row_number() OVER (ORDER BY id) AS place FROM b WHERE n < 0 AND s NOT IN (SELECT name FROM taken)),
 ranked AS (SELECT name AS symbol, row_number() OVER (ORDER BY name) AS place FROM t)
 SELECT symbol, new_name, symbol IN (SELECT name FROM i WHERE category = 'dynamic') AS likely_local FROM ranked JOIN free USING (place)"""
 
 
-@query(MAP_SQL)
+@query(map_sql(INDEX_SQL))
 def rename_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rename_map(_index(spark, sf_dir))
 
@@ -448,9 +454,21 @@ def rewrite_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rewritten(spark, sf_dir).select("file_path", F.col("error").isNotNull().alias("failed"), "symbols_renamed", "likely_local_rewrites", "dynamic_name_rewrites")
 
 
-@query()
+def _feature_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(project_index(symbol_rows(features.feature_sources(spark, sf_dir), ["src", "parts"])), "feature-index")
+
+
+@query(features.INDEX_SQL)
+def feature_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feature_index(spark, sf_dir)
+
+
+@query(features.after_sql(map_sql(features.INDEX_SQL), f"SELECT name FROM ({features.INDEX_SQL}) WHERE category IN ('candidate', 'external') UNION {RESERVED}"))
 def rewrite_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rewritten(spark, sf_dir).select("file_path", "transformed_source", "unchanged")
+    """The whole new text of sources that use every construct."""
+    index = _feature_index(spark, sf_dir)
+    out = rewrite_files(features.feature_sources(spark, sf_dir), index, stored(rename_map(index), "feature-map"))
+    return out.select("file_path", "transformed_source", "unchanged", "symbols_renamed", "likely_local_rewrites", "dynamic_name_rewrites")
 
 
 @query(f"SELECT count(*) AS python_files, count(*) FILTER ({BROKEN}) AS failed, 20 * count(*) FILTER (NOT ({BROKEN})) AS symbols_renamed, count(*) FILTER (NOT ({BROKEN})) AS symbols_renamed_likely_local, count(*) FILTER (NOT ({BROKEN})) AS dynamic_name_rewrites FROM part")
