@@ -18,6 +18,9 @@ from echoloom.scratch import remove
 
 LOADED = ("record_id", "kind", "file_path", "signature", "normalized_code", "md5sum", "intent", "start_line", "end_line")
 
+#: A10: selective reads by these columns skip row groups.
+BLOOM = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("md5sum", "file_path", "intent_status")}
+
 
 def run_status(analyzer_errors: Column, failed: Column) -> Column:
     """S7."""
@@ -79,7 +82,7 @@ class RunStore:
         if self._there(path):  # left by a writer that failed
             remove(self.spark, path)
         columns = [c.split()[0] for c in STORED_RECORD.split(", ") if c.split()[0] != "run_id"]
-        numbered(records, "file_path", "seq", name="record_id", start=taken + 1).select(*columns).write.parquet(path)
+        numbered(records, "file_path", "seq", name="record_id", start=taken + 1).select(*columns).write.options(**BLOOM).parquet(path)
         counts = self.spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_if(F.col("intent_status") == "failed").alias("failed")).first()
         status = "completed_with_errors" if analyzer_errors or counts["failed"] else "completed"
         finished = datetime.now(timezone.utc).isoformat()
