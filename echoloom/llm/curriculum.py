@@ -7,8 +7,8 @@ words of its source is due when demand reaches q, so its position is the inverse
 demand at q.  Documents are range-sorted by position.
 
 Running word counts of a source never meet in one task: documents are dealt to
-4096 buckets of each source by the md5 of their id, buckets are summed before the
-shuffle, and a document adds its place in its bucket to what earlier buckets hold.
+4096 buckets of each source by the md5 of their id (those without an id by their size), buckets are summed
+before the shuffle, and a document adds its place in its bucket to what earlier buckets hold.
 """
 
 from __future__ import annotations
@@ -60,6 +60,11 @@ def inverse_integral(schedule: Column, area: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(schedule) - 2), start, walk)["t"]
 
 
+def _bucket(key: Column, size: Column) -> Column:
+    """In the order of keys, then sizes: the first digits of a key, or for an empty one the size, which a space puts first."""
+    return F.when(key == "", F.concat(F.lit(" "), F.lpad(size.cast("string"), 19, "0"))).otherwise(F.substring(key, 1, BUCKET_DIGITS))
+
+
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Share ``share`` times all words by weight; no source above ``most`` times its size.
 
@@ -107,7 +112,7 @@ def curriculum(docs: DataFrame, schedules: DataFrame, share: float = 1.5, most:
 
     kept = [c for c in docs.columns if c not in ("source_size", "target", "taken", "copies")]
     key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
-    dealt = docs.select(*kept, name("source").alias("_source"), key.alias("_key")).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    dealt = docs.select(*kept, name("source").alias("_source"), key.alias("_key")).withColumn("_bucket", _bucket(F.col("_key"), F.col("size")))
     buckets = dealt.groupBy("_source", "_bucket").agg(F.sum("size").alias("_held"), F.first("source").alias("source"))
     weighed = schedules.select(name("source").alias("_source"), F.col("schedule").alias("_schedule"), integral(F.col("schedule")).alias("_weight"))
     sums = buckets.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_held").alias("_size")).join(weighed, "_source")

@@ -157,6 +157,20 @@ def test_curriculum(spark):
     assert curriculum(docs.limit(0), cyclic_schedules(docs.limit(0), entries.SCHEDULES)).count() == 0
 
 
+def test_rows_without_ids_come_first(spark):
+    """Half of a source without ids: ordered by size, in buckets by size, before all others."""
+    rows = [(None, f"{'w ' * (i % 7)}", "s") for i in range(300)] + [(i, "a b c", "s") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", word_count(F.col("text")))
+    plan = spark.createDataFrame([("s", [1.0, 1.0])], "source string, schedule array<double>")
+    got = [(r.doc_id, r.size, r.copies[0].position) for r in curriculum(docs, plan, share=1.0).collect() if r.copies]
+    lone = [x for x in got if x[0] is None]
+    assert [s for _, s, _ in lone] == sorted(s for _, s, _ in lone) and got[: len(lone)] == lone
+    at = 0
+    for _, size, position in got:
+        assert abs(position - at / sum(s for _, s, _ in got)) < 1e-9
+        at += size
+
+
 def test_curriculum_follows_time(spark):
     docs = spark.createDataFrame([(i, s, 10) for i in range(200) for s in ("early", "late")], "doc_id long, source string, size long")
     plan = spark.createDataFrame([("early", [3.0, 0.0]), ("late", [0.0, 3.0])], "source string, schedule array<double>")
