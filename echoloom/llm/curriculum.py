@@ -91,7 +91,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFram
     return out.select("source", "source_size", "weight", F.when(F.col("place") < F.col("first.place"), cap).otherwise(F.col("weight") * F.col("first.left") / F.col("first.weights")).alias("target"))
 
 
-def curriculum(docs: DataFrame, schedules: DataFrame, share: float = 1.5, most: float = 2.0, ordered: bool = True) -> DataFrame:
+def curriculum(docs: DataFrame, schedules: DataFrame, share: float = 1.5, most: float = 2.0, ordered: bool = True, sizes: DataFrame | None = None) -> DataFrame:
     """Assign every document of a mix its words and positions.
 
     ``docs`` has ``doc_id``, ``source`` and ``size`` (words, not null) besides any other columns,
@@ -100,7 +100,9 @@ def curriculum(docs: DataFrame, schedules: DataFrame, share: float = 1.5, most:
     and ``copies``: an array of (copy, words, position).  Copies follow one another in
     whole passes over the source, in the order of the md5 of the id; the pass that
     reaches the target stops inside a document, which gives its leading words.  With ``ordered`` rows are
-    range-sorted by their first position, those not taken last.
+    range-sorted by their first position, those not taken last.  ``sizes``, if given, holds
+    ``doc_id``, ``source`` and ``size`` of the same rows: sums are taken from it, so that wide
+    rows are read once.
 
     Defined cases: a null source is a source of its own; a document without words takes
     nothing and has no copies; a null doc_id is ordered first in its source; rows that
@@ -112,8 +114,13 @@ def curriculum(docs: DataFrame, schedules: DataFrame, share: float = 1.5, most:
 
     kept = [c for c in docs.columns if c not in ("source_size", "target", "taken", "copies")]
     key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
-    dealt = docs.select(*kept, name("source").alias("_source"), key.alias("_key")).withColumn("_bucket", _bucket(F.col("_key"), F.col("size")))
-    buckets = dealt.groupBy("_source", "_bucket").agg(F.sum("size").alias("_held"), F.first("source").alias("source"))
+
+    def deal(rows: DataFrame, columns: list[str]) -> DataFrame:
+        return rows.select(*columns, name("source").alias("_source"), key.alias("_key")).withColumn("_bucket", _bucket(F.col("_key"), F.col("size")))
+
+    dealt = deal(docs, kept)
+    counted = dealt if sizes is None else deal(sizes, ["doc_id", "source", "size"])
+    buckets = counted.groupBy("_source", "_bucket").agg(F.sum("size").alias("_held"), F.first("source").alias("source"))
     weighed = schedules.select(name("source").alias("_source"), F.col("schedule").alias("_schedule"), integral(F.col("schedule")).alias("_weight"))
     sums = buckets.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_held").alias("_size")).join(weighed, "_source")
     goals = targets(sums.select("source", F.col("_size").alias("source_size"), F.col("_weight").alias("weight")), share, most).select(name("source").alias("_source"), F.col("target").alias("_target"))

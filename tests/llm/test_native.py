@@ -171,6 +171,20 @@ def test_rows_without_ids_come_first(spark):
         at += size
 
 
+def test_curriculum_with_sizes_apart(spark):
+    """Sums from a narrow table give what the rows themselves give; ids that are null or repeated included."""
+    rows = [(i % 90 if i % 11 else None, f"s{i % 4}" if i % 4 else None, i % 13, f"row {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long, text string")
+    plan = cyclic_schedules(docs, entries.SCHEDULES)
+    sizes = docs.select("size", "source", "doc_id").repartition(5)
+
+    def told(mixed):
+        return Counter((r.doc_id, r.source, r.size, r.source_size, r.target, r.taken, tuple(r.copies)) for r in mixed.collect())
+
+    assert told(curriculum(docs, plan, sizes=sizes)) == told(curriculum(docs, plan))
+    assert curriculum(docs.limit(0), plan, sizes=sizes.limit(0)).count() == 0
+
+
 def test_curriculum_follows_time(spark):
     docs = spark.createDataFrame([(i, s, 10) for i in range(200) for s in ("early", "late")], "doc_id long, source string, size long")
     plan = spark.createDataFrame([("early", [3.0, 0.0]), ("late", [0.0, 3.0])], "source string, schedule array<double>")
