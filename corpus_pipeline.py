@@ -60,8 +60,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     columns = [c for c in docs.columns if c not in ("copy", "words", "position")]
     sized = docs.select(F.struct(*columns).alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    schedules = stored(cyclic_schedules(docs, SCHEDULES), "mix-schedules")
-    mixed = curriculum(sized, schedules, share=1.5, most=2.0, ordered=False)
+    sizes = stored(sized.select("doc_id", "source", "size"), "mix-sizes")
+    schedules = stored(cyclic_schedules(sizes, SCHEDULES), "mix-schedules")
+    mixed = curriculum(sized, schedules, share=1.5, most=2.0, ordered=False, sizes=sizes)
     # The outer form: else Catalyst infers a filter on the number of copies and computes them once more for it.
     copies = mixed.select("_row", "size", F.explode_outer("copies").alias("_c")).where("_c IS NOT NULL")
     words = F.col("_c.words")
