@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from echoloom.llm.chat_format import digests, format_chats, gathered
 from echoloom.llm.curriculum import curriculum, cyclic_schedules, word_count
 from echoloom.llm.decontaminate import contamination
+from echoloom.llm.importance import resample
 from echoloom.llm.license_scan import SPELLINGS, WHOLE_DIGESTS, known_texts, license_scan
 from echoloom.llm.language_id import held_out, identify, train
 from echoloom.llm.minhash_forest import minhash_components
 from echoloom.llm.onebit_ann import nearest
+from echoloom.llm.piece_merges import decode_ids, encode_texts
 from echoloom.llm.token_spans import section_tokens
 from echoloom.llm.url_filter import url_verdicts
 from echoloom.llm.warc_bundle import archive_folder, read_archive, write_archive
@@ -218,6 +220,42 @@ s AS (SELECT *, strlen(html)::BIGINT AS n, min(page_id) OVER (PARTITION BY diges
 SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 100 AND page_id <> least THEN least END AS refers_to FROM s"""
 
+
+
+def op11_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path  # only this query needs the vocabulary files
+
+    model = path("piece_bpe_32k.model")
+    coded = encode_texts(table(spark, sf_dir, "documents"), model).withColumn("n_tokens", F.size("ids").cast("long"))
+    said = decode_ids(coded, model, keep=("doc_id", "n_tokens"), digest="ids_sha256")
+    return said.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: CRC-32 by its table of 256, over the bytes of each different word.
+OP12_SQL = r"""
+WITH RECURSIVE bits AS (SELECT range AS b, range::UBIGINT AS c, 0 AS i FROM range(256)
+  UNION ALL SELECT b, xor(c >> 1, (c & 1) * 3988292384), i + 1 FROM bits WHERE i < 8),
+crc AS (SELECT list(c ORDER BY b) AS steps FROM bits WHERE i = 8),
+texts AS (SELECT true AS own, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
+w AS (SELECT own, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+f AS (SELECT own, id, unnest(words) AS word FROM w),
+h AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM f)),
+b AS (SELECT word, (xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i::BIGINT + 1, 2))::UBIGINT)),
+    lambda c, y: xor(c >> 8, steps[(xor(c, y) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 10000)::BIGINT AS bucket FROM h, crc),
+n AS (SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM f JOIN b USING (word) GROUP BY bucket),
+z AS (SELECT sum(s)::DOUBLE + 10000 AS ss, sum(t)::DOUBLE + 10000 AS tt FROM n),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ss / ((s + 1)::DOUBLE * tt)))::BIGINT AS gain FROM n, z),
+sums AS (SELECT id, sum(gain)::BIGINT AS weight FROM f JOIN b USING (word) JOIN g USING (bucket) WHERE own GROUP BY id),
+scored AS (SELECT w.id AS doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || w.id::VARCHAR), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN sums ON w.id = sums.id WHERE own),
+e AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS held FROM scored WHERE n_features >= 20)
+SELECT scored.*, CASE WHEN place <= 10 * held // 100 THEN place END AS rank FROM scored LEFT JOIN e USING (doc_id)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -231,6 +269,8 @@ QUERIES = {
         op8_onebit_neighbours,
         op9_decontamination,
         op10_warc_bundles,
+        op11_piece_merges,
+        op12_importance_resampling,
     )
 }
 SQL: dict[str, str] = {
@@ -242,4 +282,5 @@ SQL: dict[str, str] = {
     "op8_onebit_neighbours": OP8_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_warc_bundles": OP10_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }
