@@ -25,12 +25,13 @@ def test_every_sql_has_a_query():
 def test_imports_without_the_subpackage(tmp_path):
     for name in ("__spark_entry__.py", "bench.py"):
         shutil.copy(ROOT / name, tmp_path)
+    shutil.copytree(ROOT / "jobs", tmp_path / "jobs")
     shutil.copytree(ROOT / "echoloom", tmp_path / "echoloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e, echoloom.cli, bench; q = e.queries(); assert 'exact_members' in q and not any(x.startswith('op') or x == 'pipeline' for x in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=120)
 
 
 def test_nothing_else_imports_the_subpackage():
-    for path in (ROOT / "echoloom").rglob("*.py"):
+    for path in [*(ROOT / "echoloom").rglob("*.py"), *(ROOT / "jobs").rglob("*.py")]:
         if "llm" not in path.relative_to(ROOT).parts:
             assert not re.search(r"echoloom\.llm|corpus_pipeline", path.read_text()), path
