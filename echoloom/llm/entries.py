@@ -159,12 +159,12 @@ ks AS (SELECT DISTINCT k FROM i),
 ish AS (SELECT item_id, n, k, q, array_to_string(words[q + 1:q + k], ' ') AS sh FROM (SELECT *, unnest(range(0, n - k + 1)) AS q FROM i)),
 dsh AS (SELECT id AS doc_id, k, p, array_to_string(words[p + 1:p + k], ' ') AS sh FROM (SELECT w.id, w.words, ks.k, unnest(range(0, len(w.words) - ks.k + 1)) AS p FROM w, ks WHERE w.kind = 'd')),
 laid AS (SELECT DISTINCT d.doc_id, s.n, s.k, greatest(d.p - s.q, 0) AS start, s.n + least(d.p - s.q, 0) AS size FROM dsh d JOIN ish s ON d.sh = s.sh AND d.k = s.k),
-win AS (SELECT l.doc_id, l.n, l.k, l.start, w.words[l.start + 1:l.start + l.size] AS words FROM laid l JOIN w ON w.kind = 'd' AND w.id = l.doc_id),
-wsh AS (SELECT doc_id, n, k, start, sh, count(*) AS c FROM (SELECT *, array_to_string(words[g + 1:g + k], ' ') AS sh FROM (SELECT *, unnest(range(0, len(words) - k + 1)) AS g FROM win)) GROUP BY ALL),
+win AS (SELECT l.doc_id, l.n, l.k, l.start, l.size, w.words[l.start + 1:l.start + l.size] AS words FROM laid l JOIN w ON w.kind = 'd' AND w.id = l.doc_id),
+wsh AS (SELECT doc_id, n, k, start, size, sh, count(*) AS c FROM (SELECT *, array_to_string(words[g + 1:g + k], ' ') AS sh FROM (SELECT *, unnest(range(0, len(words) - k + 1)) AS g FROM win)) GROUP BY ALL),
 ic AS (SELECT item_id, n, k, sh, count(*) AS c FROM ish GROUP BY ALL),
-common AS (SELECT a.doc_id, a.start, a.n, a.k, b.item_id, sum(least(a.c, b.c)) AS common FROM wsh a JOIN ic b ON a.n = b.n AND a.k = b.k AND a.sh = b.sh GROUP BY ALL),
-scored AS (SELECT c.*, greatest(len(win.words) - c.k + 1, 0) + c.n - c.k + 1 - c.common AS u, len(win.words) AS n_words FROM common c JOIN win ON c.doc_id = win.doc_id AND c.start = win.start AND c.n = win.n AND c.k = win.k),
-good AS (SELECT *, common::DOUBLE / u AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common::DOUBLE / u DESC, start) AS place FROM scored WHERE common * 100 >= u * 80)
+common AS (SELECT a.doc_id, a.start, a.size, a.n, a.k, b.item_id, sum(least(a.c, b.c)) AS common FROM wsh a JOIN ic b ON a.n = b.n AND a.k = b.k AND a.sh = b.sh GROUP BY ALL),
+scored AS (SELECT c.*, greatest(len(win.words) - c.k + 1, 0) + c.n - c.k + 1 - c.common AS u, len(win.words) AS n_words FROM common c JOIN win ON c.doc_id = win.doc_id AND c.start = win.start AND c.size = win.size AND c.n = win.n AND c.k = win.k),
+good AS (SELECT *, common::DOUBLE / u AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common::DOUBLE / u DESC, start, n_words) AS place FROM scored WHERE common * 100 >= u * 80)
 SELECT doc_id, item_id, similarity, start::BIGINT AS start, n_words::BIGINT AS n_words FROM good WHERE place = 1"""
 
 def op4_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,10 @@ def test_equal_items_are_each_reported(spark):
     assert got == want and len(want) == 120
 
 
+def test_sql_agrees_with_every_window(spark):
+    """A change near the start of a cut item gives two windows of one start."""
+    draw = random.Random(8)
+    item = words(draw, 45)
+    docs = [(0, " ".join(item[1:6] + ["more"] + item[6:] + words(draw, 20))), (1, " ".join(item[1:])), (2, " ".join(item[2:9] + ["more"] + item[9:]))]
+    got, want = compared(spark, [(0, " ".join(item))], docs)
+    assert got == want == compared(spark, [(0, " ".join(item))], docs, plain=False)[1]
