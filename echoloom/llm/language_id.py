@@ -11,6 +11,7 @@ before it; words of more than ``PART`` characters are scored in parts of ``PART`
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -28,6 +29,7 @@ SAMPLE_WORDS = 100_000  #: most different words of a language's sample, the most
 MOST_LANGUAGES = 500  #: learned, the most frequent ones: their piece tables, 65 MB for so many, are broadcast
 ROUNDS = 4  #: of expectation maximisation
 SHARED, FLOOR = 0.05, 1e-8  #: weight of all languages' pieces in each language; least probability
+MARGIN = 0.1  #: by how much a language has to be likelier than single letters, for each letter (natural logarithm)
 PART = 32
 MARK = "▁"
 WORDS = re.compile(r"[^\W\d_]+")
@@ -154,10 +156,14 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class LanguageModel:
-    """Languages, sorted, and the piece table: a row a piece and the unknown character, a column a language."""
+    """Languages, sorted, and the piece table: a row a piece and the unknown character, a column a language.
 
-    def __init__(self, languages: list[str], pieces: list[str], table: np.ndarray) -> None:
-        self.languages, self.pieces, self.table = languages, pieces, table
+    ``letters`` is what any text of letters may be: the shares of single letters, and of the word mark, in the sample
+    of all languages.
+    """
+
+    def __init__(self, languages: list[str], pieces: list[str], table: np.ndarray, letters: dict[str, float] | None = None) -> None:
+        self.languages, self.pieces, self.table, self.letters = languages, pieces, table, letters or {}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -178,7 +184,11 @@ def _fitter(known, rounds: int) -> Callable:  # noqa: ANN001  a broadcast of the
         for _ in range(rounds):
             found = expected_counts(words, n, index, p)
             p = np.maximum(found / found.sum(), FLOOR)
-        return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "expected": [found.tolist()]})
+        letters = Counter()
+        for word, times in held.items():
+            for c in word:
+                letters[c] += times
+        return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "expected": [found.tolist()], "letters": [list(letters)], "times": [[float(x) for x in letters.values()]]})
 
     return fit
 
@@ -204,21 +214,26 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMP
     counts = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= SAMPLE_WORDS)
     pieces = public_pieces(vocabulary)
     fit = _fitter(docs.sparkSession.sparkContext.broadcast(pieces), rounds)
-    fitted = counts.select("lang", "word", "n").groupBy("lang").applyInPandas(fit, "lang string, expected array<double>").toPandas().sort_values("lang")
+    fitted = counts.select("lang", "word", "n").groupBy("lang").applyInPandas(fit, "lang string, expected array<double>, letters array<string>, times array<double>").toPandas().sort_values("lang")
     languages = list(fitted["lang"])
     if not languages:
         return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)))
     shares = [np.array(e) / np.sum(e) for e in fitted["expected"]]
     all_of = sum(shares) / len(shares)
     table = np.stack([np.maximum((1 - SHARED) * e + SHARED * all_of, FLOOR) for e in shares], axis=1)
-    return LanguageModel(languages, pieces, table)
+    letters: dict[str, float] = {}
+    for own, times in zip(fitted["letters"], fitted["times"], strict=True):
+        for c, n in zip(own, times, strict=True):
+            letters[c] = letters.get(c, 0.0) + n / (np.sum(times) * len(languages))
+    return LanguageModel(languages, pieces, table, letters)
 
 
-def _predictor(model, names: tuple[str, str]) -> Callable:  # noqa: ANN001  a broadcast of (languages, pieces, table)
+def _predictor(model, names: tuple[str, ...]) -> Callable:  # noqa: ANN001  a broadcast of (languages, pieces, table)
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, pieces, table = model.value
-        index, cache = Pieces(pieces), {}
-        scores = np.zeros((0, len(languages)))
+        languages, pieces, table, letters = model.value
+        index, cache, apart = Pieces(pieces), {}, {c: math.log(p) + MARGIN for c, p in letters.items()}
+        strange = math.log(FLOOR) + MARGIN
+        scores = np.zeros((0, len(languages) + 1))  # the last column: letter by letter
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
@@ -237,38 +252,45 @@ def _predictor(model, names: tuple[str, str]) -> Callable:  # noqa: ANN001  a br
                     flat = log_probabilities([p for x in pieces_of for p in x], index, table)
                     starts = np.cumsum([0, *map(len, pieces_of[:-1])])
                     cache.update(zip(new, range(len(scores), len(scores) + len(new)), strict=True))
-                    scores = np.concatenate([scores, np.add.reduceat(flat, starts, axis=0)])
-                sums = np.zeros((part.num_rows, len(languages)))
+                    singly = [[sum(apart.get(c, strange) for p in x for c in p)] for x in pieces_of] if len(names) > 2 else np.zeros((len(new), 1))
+                    scores = np.concatenate([scores, np.hstack([np.add.reduceat(flat, starts, axis=0), singly])])
+                sums = np.zeros((part.num_rows, len(languages) + 1))
                 if words and languages:
                     at = np.fromiter((cache[w] for w in words), np.int64, len(words))
                     some = np.flatnonzero(owner_size)
                     cuts = np.concatenate([[0], np.cumsum(owner_size)])[some]
                     sums[some] = np.add.reduceat(scores[at], cuts, axis=0)
-                named, sure = [], []
-                for row, n in zip(sums, owner_size, strict=True):
+                named, sure, odds = [], [], []
+                for row, single, n in zip(sums[:, :-1], sums[:, -1].tolist(), owner_size, strict=True):
                     if not n or not languages:
                         named.append("und")
                         sure.append(0.0)
+                        odds.append(0.0)
                         continue
                     best = int(row.argmax())
                     named.append(languages[best])
                     sure.append(float(1 / np.exp(row - row[best]).sum()))
+                    odds.append(float(row[best] - single))
                 kept = [part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.record_batch([*kept, pa.array(named, pa.string()), pa.array(sure, pa.float64())], [*part.schema.names[:-1], *names])
+                told = [pa.array(named, pa.string()), pa.array(sure, pa.float64()), pa.array(odds, pa.float64())][: len(names)]
+                yield pa.record_batch([*kept, *told], [*part.schema.names[:-1], *names])
 
     return predict
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """The language of every whole text: columns ``keep``, then ``lang_pred`` and ``score`` (or ``names``).
 
     Only ``text`` decides.  ``score`` is the posterior probability of the language among those
     learned, which are equally likely beforehand.  A null text, or one without any letter,
     is ``und`` with score 0, and so is every text if nothing was learned.  Equal
     scores go to the first language by name.  Repeated rows are each given.
+
+    A third of ``names`` asks for the evidence that the text is of that language rather than any text of letters: by how much
+    its log-likelihood exceeds that of letters drawn one by one (``LanguageModel.letters``), MARGIN more for each letter; 0 for ``und``.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.languages, model.pieces, model.table))
+    shared = spark.sparkContext.broadcast((model.languages, model.pieces, model.table, model.letters))
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_predictor(shared, names), f"{kinds}, `{names[0]}` string, `{names[1]}` double")
+    return rows.mapInArrow(_predictor(shared, names), f"{kinds}, `{names[0]}` string, " + ", ".join(f"`{n}` double" for n in names[1:]))
