@@ -6,7 +6,7 @@ first three return the columns of ``documents``; the last adds the training orde
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from echoloom.llm.curriculum import curriculum, cyclic_schedules, word_count
 from echoloom.llm.decontaminate import contamination
@@ -15,31 +15,39 @@ from echoloom.llm.minhash_forest import minhash_components
 from echoloom.scratch import stored
 
 LEAST_SCORE = 0.5  #: of the predicted language
+LEAST_EVIDENCE = -20.0  #: that a text is of its language rather than any letters; less goes (natural logarithm)
+MOST_TORN = 100_000  #: ids that are broadcast at most
 #: Weights over training time that sources, by code point and null last, take in turn.
 SCHEDULES = ((5.0, 5.0, 5.0), (3.0, 2.0, 1.0), (0.5, 1.0, 1.5))
 ENDS_OF_WORDS = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
 
-def _key() -> Column:
-    """The id, or for rows that have none a hash of the text beyond the usual ids."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_id``: the id, or a hash of the text beyond the usual ids for rows without an id or with one that different texts share."""
+    own = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).where("doc_id IS NOT NULL")
+    torn = stored(texts.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select(F.col("doc_id").alias("_torn")), "torn-ids")
+    few = torn.count() <= MOST_TORN
+    joined = docs.join(F.broadcast(torn) if few else torn, F.col("doc_id").cast("long") == F.col("_torn"), "left")
+    usable = F.when(F.col("_torn").isNull(), F.col("doc_id").cast("long"))
+    return joined.withColumn("_id", F.coalesce(usable, own)).drop("_torn")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language is undetermined (no letters) or whose score is below LEAST_SCORE."""
+    """Documents go whose language is undetermined (no letters), whose score is below LEAST_SCORE, or whose letters are as good as any (LEAST_EVIDENCE)."""
     columns = docs.columns
-    judged = identify(docs, train(docs), keep=tuple(columns), names=("_lang", "_sure"))
-    return judged.where((F.col("_lang") != "und") & (F.col("_sure") >= LEAST_SCORE)).select(*columns)
+    judged = identify(docs, train(docs), keep=tuple(columns), names=("_lang", "_sure", "_evidence"))
+    return judged.where((F.col("_lang") != "und") & (F.col("_sure") >= LEAST_SCORE) & (F.col("_evidence") >= LEAST_EVIDENCE)).select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest id.
 
-    Rows that repeat an id count as one document, of which one row stays; rows without an id
-    are told apart by their texts and yield to rows that have one.
+    Rows that repeat an id and a text count as one document, of which one row stays; rows without an id, and rows
+    of one id with different texts, are told apart by their texts and yield to rows that have an id of their own.
     """
     columns = docs.columns
-    keyed = docs.withColumn("_id", _key())
+    keyed = _keyed(docs)
     kept = minhash_components(keyed.select(F.col("_id").alias("doc_id"), "text"), k=5, num=80, den=100).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     one = F.row_number().over(Window.partitionBy("_id").orderBy("text", "source", "lang"))
     return keyed.join(kept.hint("merge"), "_id", "left_semi").withColumn("_place", one).where("_place = 1").select(*columns)
@@ -48,7 +56,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that hold an item of the benchmark."""
     columns = docs.columns
-    keyed = docs.withColumn("_id", _key())
+    keyed = _keyed(docs)
     hits = contamination(keyed.select(F.col("_id").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return keyed.join(hits.select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_anti").select(*columns)
 
