@@ -13,6 +13,7 @@ import ast
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import count
 from unicodedata import normalize
 
 import pandas as pd
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from echoloom.operators.symbols import ATTRIBUTE, CANDIDATE, CLASS, DYNAMIC_CALLS, EXTERNAL, alphabetic, base26, is_dunder, reserved_names
 from echoloom.scratch import stored
 
-ALIASES = 1000  #: most aliases of a file
+#: A plain import as far as its statement may go; a bound on what a file imports, comments and strings included.
+IMPORTS = r"\bimport\b([^\n\r;]*)"
 WORD = re.compile(r"[^\W\d]\w*")
 PROJECT, FOREIGN, LOCAL = "project", "external", "likely_local"
 PASSING = ("enumerate", "sorted", "list", "tuple", "set", "reversed")
@@ -34,6 +36,16 @@ class RewriteError(RuntimeError):
     """A source that cannot be parsed or printed."""
 
 
+@dataclass
+class _Free:
+    """Alphabetic names without end, but for those that are taken."""
+
+    taken: set[str]
+
+    def __iter__(self) -> Iterator[str]:
+        return (a for a in map(alphabetic, count()) if a not in self.taken)
+
+
 @dataclass
 class Names:
     """What the rewrite of a file needs to know of the project's names.
@@ -60,8 +72,7 @@ class Names:
         def both(names: set[str]) -> set[str]:
             return names | {new.get(x, x) for x in names}
 
-        free = [a for a in map(alphabetic, range(len(taken) + ALIASES)) if a not in taken]
-        return cls(new, {v: k for k, v in new.items()}, likely_local, facts[EXTERNAL], facts[CLASS], facts[ATTRIBUTE], both(facts[CLASS]), both(facts[ATTRIBUTE]), free)
+        return cls(new, {v: k for k, v in new.items()}, likely_local, facts[EXTERNAL], facts[CLASS], facts[ATTRIBUTE], both(facts[CLASS]), both(facts[ATTRIBUTE]), _Free(taken))
 
     @classmethod
     def of_rows(cls, rows: list, free: Iterable[str]) -> Names:
@@ -211,18 +222,12 @@ class _File:
             if name.asname is not None or "." in name.name:
                 continue
             if name.name not in self.aliases:
-                self.aliases[name.name] = self.free_alias()
+                self.aliases[name.name] = next(self.free)
             name.asname = self.aliases[name.name]
             if name.name in self.names.external:
                 self.foreign_aliases.add(name.asname)
             self.renamed += 1
 
-    def free_alias(self) -> str:
-        alias = next(self.free, None)
-        if alias is None:
-            raise RewriteError(f"more than {ALIASES} plain imports")
-        return alias
-
     def after_alias(self, node: ast.alias) -> None:
         if "." not in node.name:
             node.name = self.counted(node.name) or node.name
@@ -314,13 +319,20 @@ def symbol_table(index: DataFrame, mapped: DataFrame) -> DataFrame:
     return known.join(back, "name", "full_outer")
 
 
-def free_aliases(index: DataFrame, mapped: DataFrame) -> list[str]:
-    """The first ALIASES names that nothing in the project or in Python has."""
+def most_imports(files: DataFrame) -> int:
+    """At least as many as the plain imports of any one file: names after ``import``, up to the end of its logical line."""
+    joined = F.regexp_replace(F.coalesce("content", F.lit("")), r"\\\r?\n|\\\r", " ")
+    commas = F.transform(F.regexp_extract_all(joined, F.lit(IMPORTS), F.lit(1)), lambda x: F.length(x) - F.length(F.replace(x, F.lit(","))) + 1)
+    return files.agg(F.max(F.aggregate(commas, F.lit(0), lambda a, x: a + x))).first()[0] or 0
+
+
+def free_aliases(index: DataFrame, mapped: DataFrame, most: int) -> list[str]:
+    """The first ``most`` names that nothing in the project or in Python has, in order: what the file with most imports needs."""
     spark = index.sparkSession
     used = index.where(F.col("category").isin(CANDIDATE, EXTERNAL)).select("name").unionByName(mapped.select(F.explode(F.array("symbol", "new_name")).alias("name")))
     taken = stored(used.unionByName(spark.createDataFrame([(x,) for x in reserved_names()], "name string")).distinct(), "taken")
-    free = spark.range(taken.count() + ALIASES).select("id", base26(F.col("id")).alias("name")).join(taken, "name", "left_anti")
-    return [r.name for r in free.orderBy("id").limit(ALIASES).collect()]
+    free = spark.range(taken.count() + most).select("id", base26(F.col("id")).alias("name")).join(taken, "name", "left_anti")
+    return [r.name for r in free.orderBy("id").limit(most).collect()]
 
 
 def _held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -334,9 +346,9 @@ def rewrite_files(files: DataFrame, index: DataFrame, mapped: DataFrame) -> Data
     """A row for each file of (file_path, content): its new source and counters, or an error.
 
     A file is sent what the project knows of the names in it, and no more, so neither the
-    driver nor any task holds the whole rename map.  ``file_path`` is unique.
+    driver nor any task holds the whole rename map; the list of free aliases is as long as the file with most imports.  ``file_path`` is unique.
     """
-    free = files.sparkSession.sparkContext.broadcast(free_aliases(index, mapped))
+    free = files.sparkSession.sparkContext.broadcast(free_aliases(index, mapped, most_imports(files)))
     table = symbol_table(index, mapped)
     known = files.select("file_path", "content").mapInPandas(_held, "file_path string, name string").join(table, "name")
     known = known.groupBy("file_path").agg(F.collect_list(F.struct(*table.columns)).alias("known"))

@@ -6,7 +6,7 @@ import pytest
 
 from echoloom import cli
 from echoloom.operators.extract import split_symbols, tagged_symbols
-from echoloom.operators.rewrite import Names, RewriteError, rewrite_files, rewritten
+from echoloom.operators.rewrite import Names, RewriteError, most_imports, rewrite_files, rewritten
 from echoloom.operators.symbols import alphabetic, base26, facts_of, module_roots, project_index, rename_map, reserved_names, symbol_rows
 
 NONE = {"candidate": set(), "external": set(), "class": set(), "attribute": set(), "dynamic": set()}
@@ -140,3 +140,25 @@ def test_deep_sources_are_error_rows(spark):
     assert [done[p].error is None for p in ("m/sum.py", "m/minus.py", "m/ok.py", "m/calls.py")] == [False, False, True, True]
     symbols, errors = split_symbols(tagged_symbols(frame))
     assert {r.file_path for r in errors.collect()} >= {"m/minus.py"} and {r.file_path for r in symbols.collect()} >= {"m/ok.py", "m/calls.py"}
+
+
+def test_any_number_of_imports(spark):
+    """Each plain import gets the next base-26 name that the project has not; names in use are skipped."""
+    many = "\n".join(f"import m{i}, n{i}" + (f", \\\n  o{i}; import p{i} as q{i}" if i % 7 == 0 else "") for i in range(2500))
+    files = [("a.py", many + "\nm3.x, p0\n"), ("b.py", "import m3\nb = aa = zz = abc = 1\n"), ("c.py", None), ("d.py", "")]
+    frame = spark.createDataFrame(files, "file_path string, content string")
+    index = project_index(symbol_rows(frame, []))
+    mapped = rename_map(index)
+    facts = NONE | {}
+    for r in index.collect():
+        facts = facts | {r.category: facts[r.category] | {r.name}}
+    plain = Names.of_project({r.symbol: r.new_name for r in mapped.collect()}, set(), facts)
+    got = {r.file_path: r for r in rewrite_files(frame, index, mapped).collect()}
+    assert most_imports(frame) >= 5000 + 358 and got["a.py"].error is None and got["c.py"].error == "no content"
+    for path, content in files:
+        if content is not None:
+            assert got[path].transformed_source == rewritten(content, plain)[0]
+    taken = facts["candidate"] | facts["external"] | {x for r in mapped.collect() for x in (r.symbol, r.new_name)} | set(reserved_names())
+    order = [x for x in map(alphabetic, range(20_000)) if x not in taken]
+    assert got["b.py"].transformed_source.startswith(f"import m3 as {order[0]}\n") and {"b", "aa", "zz", "abc"} & set(order) == set()
+    assert f"import m2499 as {order[5355]}, n2499 as {order[5356]}, o2499 as {order[5357]}" in got["a.py"].transformed_source
