@@ -15,14 +15,13 @@ from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from echoloom.operators.duplicates import find_duplicates, progress_ticks
-from echoloom.operators.enrich import Client, chosen_client, enriched, parsed_scopes
+from echoloom.operators.duplicates import find_duplicates
+from echoloom.operators.enrich import Client, Progress, chosen_client, enriched_once, parsed_scopes
 from echoloom.operators.extract import built_records, split_symbols, tagged_symbols
-from echoloom.operators.ranking import numbered
 from echoloom.operators.rewrite import rewrite_files
 from echoloom.operators.symbols import CANDIDATE, EXTERNAL, module_roots, project_index, rename_map, symbol_rows
 from echoloom.plans.report import json_document, records_text, report_text
-from echoloom.scratch import stored
+from echoloom.scratch import scratch_path, stored
 from echoloom.session import session
 from echoloom.sources.store import RunStore
 from echoloom.sources.tree import IgnoreRules, copy_project, python_paths, read_files, replace_file
@@ -52,6 +51,7 @@ def parser() -> argparse.ArgumentParser:
     model.add_argument("--scope", default="")
     model.add_argument("--progress-batch-size", type=int, default=10)
     model.add_argument("--enricher-workers", type=int, default=4)
+    model.add_argument("--answer-log", help="folder of answers that later runs use again")
     commands.add_parser("model-build", parents=[workers])
     commands.add_parser("enrich-intent", parents=[workers, model])
     commands.add_parser("persist", parents=[workers, model]).add_argument("--db-path", required=True)
@@ -97,10 +97,14 @@ def _asked(args: argparse.Namespace, records: Callable[[], tuple[DataFrame, Data
     except ValueError:
         raise UsageError(f"Invalid scope: {args.scope}") from None
     built, errors = records()
-    done = enriched(built, client(args), scopes, args.enricher_workers)
-    calls = numbered(done.where("elapsed IS NOT NULL").select("file_path", "seq", "elapsed", (F.col("intent_status") == "failed").cast("int").alias("failed")), "file_path", "seq", name="n")
-    for t in progress_ticks(calls, args.progress_batch_size).orderBy("n").toLocalIterator():
-        out.write(f"progress {t.n}/{t.total} percent={t.percent:.1f} failed={t.failed} eta_seconds={t.eta_seconds}\n")
+    log = args.answer_log or scratch_path(built.sparkSession, "answers")
+
+    def tell(t: Progress) -> None:
+        if t.total:
+            out.write(f"progress {t.n}/{t.total} percent={t.percent:.1f} failed={t.failed} eta_seconds={t.eta_seconds}\n")
+            out.flush()
+
+    done = enriched_once(built, client(args), scopes, log, f"{args.provider_url} {args.model}", args.enricher_workers, args.progress_batch_size, tell, ("file_path", "seq"))
     return done.drop("elapsed"), errors
 
 

@@ -1,23 +1,30 @@
 """Short intents from a language model.
 
 Records in scope go to a client in batches of rows; a refusal of the client is
-kept with its record, any other fault ends the job.  The result is stored at once, since each
-later read would ask the model again; speculation should be off.
+kept with its record, any other fault ends the job.  :func:`enriched` asks for every record and stores the result at
+once, since each later read would ask the model again; speculation should be off.
+
+:func:`enriched_once` asks once for equal code, and keeps the answers in a folder that outlives the job: questions go in parts,
+each part's answers are written before the next is asked, and a job that is killed and run again asks only
+what has no answer yet.  After every part it can tell how far it is.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 from urllib.parse import urlparse
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from echoloom.operators.ranking import numbered
 from echoloom.schema import KINDS
 from echoloom.scratch import stored
 
@@ -147,3 +154,100 @@ def enriched(records: DataFrame, make: Callable[[], Client], scopes: list[str],
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in timed.schema.fields)
     answered = asked.mapInPandas(_asker(make, timed.columns, clock), kinds)
     return stored(answered.unionByName(timed.where(~F.col("kind").isin(scopes))), "enriched")
+
+
+ANSWER = "code_md5 string, intent string, intent_status string, intent_error string, elapsed double"
+ANSWERS = f"{ANSWER}, client string, asked_in string"
+
+
+@dataclass(frozen=True)
+class Progress:
+    """How far the questions of a job are."""
+
+    n: int
+    total: int
+    failed: int
+    seconds: float  #: that the clients took for the n answers
+
+    @property
+    def percent(self) -> float:
+        return 100.0 if self.total == 0 else self.n * 100.0 / self.total
+
+    @property
+    def eta_seconds(self) -> int:
+        """Of all remaining calls, by the mean so far; half to even."""
+        return round((self.total - self.n) * self.seconds / self.n) if self.n else 0
+
+
+class AnswerLog:
+    """Answers by client and MD5 of the code: a Parquet folder, partitioned by client and by the job that asked."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _rows(self, client: str) -> DataFrame:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target):
+            return self.spark.createDataFrame([], ANSWERS)
+        return self.spark.read.schema(ANSWERS).parquet(self.folder).where(F.col("client") == client)
+
+    def given(self, client: str, asked_in: str | None = None) -> DataFrame:
+        """One answer for each code: intents, and with ``asked_in`` also what that job was refused; of several, an intent, the least by text."""
+        usable = F.col("intent_status") == "success"
+        rows = self._rows(client).where(usable if asked_in is None else usable | (F.col("asked_in") == asked_in))
+        fields = ("intent", "intent_status", "intent_error", "elapsed", "asked_in")
+        order = F.struct((~usable).alias("refused"), *[f for f in fields if f != "elapsed"])
+        return rows.groupBy("code_md5").agg(F.min_by(F.struct(*fields), order).alias("a")).select("code_md5", "a.*")
+
+    def add(self, answers: DataFrame, client: str, asked_in: str) -> None:
+        rows = answers.withColumns({"client": F.lit(client), "asked_in": F.lit(asked_in)})
+        rows.write.mode("append").partitionBy("client", "asked_in").parquet(self.folder)
+
+
+def enriched_once(
+    records: DataFrame,
+    make: Callable[[], Client],
+    scopes: list[str],
+    log: str,
+    client: str,
+    workers: int = 4,
+    per_part: int = 1000,
+    tell: Callable[[Progress], None] | None = None,
+    order: tuple[str, ...] = (),
+    clock: Callable[[], float] = time.perf_counter,
+) -> DataFrame:
+    """X5 with memory: as :func:`enriched`, but no code is asked about that ``client`` (a name for provider and model) has an intent for.
+
+    ``log`` is the folder of answers.  Questions are asked in the order of the columns ``order`` of their first record (else by
+    MD5), ``per_part`` at a time, by at most ``workers`` clients; a task that is run again repeats at most its share of
+    one part.  After each part ``tell`` gets the progress, counted where the answers are written, so that a
+    repeated task counts once; with no question it is told once.  Refused questions are asked again by the next job.
+    ``elapsed`` is null where the answer was known before; a null code is asked about as the empty text.
+    """
+    if workers <= 0 or per_part <= 0:
+        raise ValueError("workers and per_part must be > 0")
+    spark, answers, run = records.sparkSession, AnswerLog(records.sparkSession, log), uuid.uuid4().hex
+    code = F.coalesce("raw_code", F.lit(""))
+    scope = F.coalesce(F.col("kind").isin(scopes), F.lit(False))
+    first = F.min(F.struct(*order)) if order else F.lit(0)
+    distinct = records.where(scope).groupBy(F.md5(code).alias("code_md5")).agg(F.min(code).alias("raw_code"), first.alias("_first"))
+    asked = distinct.join(answers.given(client).select("code_md5"), "code_md5", "left_anti")
+    part = F.floor((F.col("n") - 1) / per_part).cast("int").alias("part")
+    questions = stored(numbered(asked, "_first", "code_md5", name="n").select("code_md5", "raw_code", part), "questions", "part")
+    total = questions.count()
+    done = Progress(0, total, 0, 0.0)
+    columns = [c.split()[0] for c in ANSWER.split(", ")]
+    for i in range(-(-total // per_part)):
+        seen = Observation()
+        told = questions.where(F.col("part") == i).repartition(workers).mapInPandas(_asker(make, columns, clock), ANSWER)
+        answers.add(told.observe(seen, F.count("*").alias("n"), F.count_if(F.col("intent_status") == "failed").alias("failed"), F.sum("elapsed").alias("seconds")), client, run)
+        done = Progress(done.n + seen.get["n"], total, done.failed + seen.get["failed"], done.seconds + seen.get["seconds"])
+        if tell:
+            tell(done)
+    if tell and not total:
+        tell(done)
+    given = stored(answers.given(client, run).withColumn("elapsed", F.when(F.col("asked_in") == run, F.col("elapsed"))).drop("asked_in"), "answers")
+    rest = [c for c in records.columns if c not in ("intent", "intent_status", "intent_error", "elapsed")]
+    rows = records.where(scope).select(*rest, F.md5(code).alias("code_md5")).join(given, "code_md5").drop("code_md5")
+    other = records.where(~scope).withColumn("elapsed", F.lit(None).cast("double"))
+    return stored(rows.select(*other.columns).unionByName(other), "enriched")

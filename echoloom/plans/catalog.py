@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from echoloom.functions.normalize import fingerprint, normalize_code, without_blank_lines, without_comment_lines
 from echoloom.operators.components import connected_components
 from echoloom.operators.duplicates import comparable_intent, eligible, exact_groups, find_duplicates, fuzzy_groups, progress_ticks, record_edges
-from echoloom.operators.enrich import OfflineClient, enriched
+from echoloom.operators.enrich import OfflineClient, enriched, enriched_once
 from echoloom.operators.extract import split_symbols, tagged_symbols
 from echoloom.operators.ranking import numbered
 from echoloom.operators.rewrite import rewrite_files
@@ -273,6 +273,16 @@ def enrich_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir).groupBy("kind", "intent_status").agg(F.count("*").alias("n"))
 
 
+@query(f"{ENRICHED_SQL} SELECT *, intent_status = 'failed' AS asked FROM e")
+def enrich_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second job with the answers of a first asks only where the first was refused."""
+    fresh = records(spark, sf_dir).withColumns({"intent": F.lit(None).cast("string"), "intent_status": F.lit("skipped"), "intent_error": F.lit(None).cast("string")})
+    log = scratch_path(spark, "answers")
+    for _ in range(2):
+        out = enriched_once(fresh, lambda: OfflineClient("the"), ASKED, log, "offline", per_part=50_000)
+    return out.select("record_id", "kind", "intent", "intent_status", "intent_error", F.col("elapsed").isNotNull().alias("asked"))
+
+
 TICKS_SQL = """
 WITH c AS (SELECT event_id + 1 AS n, (event_id % 8) / 4.0 AS elapsed, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS failed FROM events),
 s AS (SELECT n, max(n) OVER () AS total, sum(failed) OVER w AS failed, (sum(elapsed) OVER w)::DOUBLE / n AS mean_seconds FROM c WINDOW w AS (ORDER BY n ROWS UNBOUNDED PRECEDING))

@@ -3,13 +3,15 @@
 import io
 import json
 import os
+import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from echoloom import cli, scratch
 from echoloom.functions.normalize import normalized, without_blank_lines, without_comment_lines
-from echoloom.operators.enrich import IntentError, OfflineClient, OllamaClient, OpenAIClient, chosen_client, enriched, normalized_provider, parsed_scopes
+from echoloom.operators.enrich import IntentError, OfflineClient, OllamaClient, OpenAIClient, chosen_client, enriched, enriched_once, normalized_provider, parsed_scopes
 from echoloom.operators.extract import built_records, split_symbols, symbols_of, tagged_symbols
 from echoloom.sources.store import RunStore
 from echoloom.sources.tree import IgnoreRules, copy_project, python_paths, read_files, rebased
@@ -129,6 +131,79 @@ def test_enrichment_keeps_failures(spark):
         enriched(full, OfflineClient, ["function"], 0)
 
 
+ROWS = [("function", "a.py", 1, "def f(): 1"), ("function", "b.py", 1, "def f(): 1"), ("method", "a.py", 2, "bad"), ("class", "c.py", 1, "class C: 2"), ("file", "a.py", 0, "all of it"), (None, "d.py", 1, "?"), ("function", "e.py", 1, None), ("function", "f.py", 1, "last")]
+
+
+def counting(folder, breaks=None):
+    """Makes clients that leave a file for each call; ``breaks`` ends the job there."""
+
+    class Counting(OfflineClient):
+        def intent(self, code):
+            (Path(folder) / uuid.uuid4().hex).write_text(code)
+            if breaks and breaks in code:
+                raise RuntimeError("the machine is gone")
+            return super().intent(code)
+
+    return lambda: Counting("bad")
+
+
+def asked_rows(spark):
+    rows = spark.createDataFrame(ROWS, "kind string, file_path string, seq int, raw_code string")
+    return rows.withColumns({c: F.lit(None).cast("string") for c in ("intent", "intent_error")} | {"intent_status": F.lit("skipped"), "asked_in": F.lit("clash"), "n": F.lit(0)})
+
+
+def test_equal_code_is_asked_once_and_remembered(spark, tmp_path):
+    full, calls, log, told = asked_rows(spark), tmp_path / "calls", str(tmp_path / "log"), []
+    calls.mkdir()
+
+    def run(scopes, breaks=None, client="x", **more):
+        before = len(list(calls.iterdir()))
+        out = enriched_once(full, counting(calls, breaks), scopes, log, client, workers=2, tell=told.append, order=("file_path", "seq"), **more)
+        rows = {(r.file_path, r.seq): (r.intent, r.intent_status, r.intent_error, r.elapsed is not None) for r in out.collect()}
+        return rows, len(list(calls.iterdir())) - before, out.columns
+
+    scopes = ["function", "method", "class"]
+    got, n, columns = run(scopes, per_part=2)
+    assert n == 5 and columns == [*full.columns, "elapsed"]
+    assert [(t.n, t.total, t.failed) for t in told] == [(2, 5, 1), (4, 5, 1), (5, 5, 1)] and told[-1].eta_seconds == 0
+    want = {("a.py", 1): ("intent::10", "success", None, True), ("b.py", 1): ("intent::10", "success", None, True), ("a.py", 2): (None, "failed", "refused", True), ("c.py", 1): ("intent::10", "success", None, True), ("a.py", 0): (None, "skipped", None, False), ("d.py", 1): (None, "skipped", None, False), ("e.py", 1): ("intent::0", "success", None, True), ("f.py", 1): ("intent::4", "success", None, True)}
+    assert got == want
+    # Again: only what was refused.  Another client: everything.  With no question there is one report.
+    got, n, _ = run(scopes)
+    assert n == 1 and got == {k: (*v[:3], k == ("a.py", 2)) for k, v in want.items()}
+    assert run(scopes, client="y")[1] == 5 and run(["class"])[1] == 0 and told[-1].percent == 100.0
+    assert run(["file"])[1] == 1 and enriched_once(full.limit(0), OfflineClient, scopes, log, "x").count() == 0
+    with pytest.raises(ValueError, match="workers"):
+        run(scopes, per_part=0)
+
+
+def test_a_killed_job_asks_only_what_is_left(spark, tmp_path):
+    full, calls, log = asked_rows(spark), tmp_path / "calls", str(tmp_path / "log")
+    calls.mkdir()
+    ask = lambda breaks: enriched_once(full, counting(calls, breaks), ["function", "class"], log, "x", workers=1, per_part=1, order=("file_path", "seq"))
+    with pytest.raises(Exception, match="the machine is gone"):
+        ask("class C")
+    codes = lambda: sorted(p.read_text() for p in calls.iterdir())
+    before = codes()
+    assert set(before) == {"def f(): 1", "class C: 2"}
+    assert {r.intent_status for r in ask(None).where("kind IN ('function', 'class')").collect()} == {"success"}
+    again = codes()
+    for code in before:
+        again.remove(code)
+    assert again == ["", "class C: 2", "last"]
+
+
+def test_progress_comes_before_the_end(spark, tmp_path):
+    """Answers of a part are in the log, and told of, before the next part is asked."""
+    full, log, seen = asked_rows(spark), str(tmp_path / "log"), []
+
+    def tell(t):
+        seen.append((t.n, spark.read.parquet(log).count()))
+
+    enriched_once(full, lambda: OfflineClient("bad"), ["function", "method", "class"], log, "x", per_part=2, tell=tell)
+    assert seen == [(2, 2), (4, 4), (5, 5)]
+
+
 def test_clients_and_providers():
     sent = []
 
