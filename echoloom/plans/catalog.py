@@ -426,13 +426,14 @@ def rename_target_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BASE26_SQL = """
-WITH RECURSIVE b AS (SELECT range AS id, range AS n, '' AS s FROM range(20000) UNION ALL SELECT id, n // 26 - 1, chr((97 + n % 26)::INTEGER) || s FROM b WHERE n >= 0)
+WITH RECURSIVE b AS (SELECT event_id AS id, event_id AS n, '' AS s FROM events UNION ALL SELECT id, n // 26 - 1, chr((97 + n % 26)::INTEGER) || s FROM b WHERE n >= 0)
 SELECT id, s AS name FROM b WHERE n < 0"""
 
 
 @query(BASE26_SQL)
 def base26_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(20000).select("id", base26(F.col("id")).alias("name"))
+    views(spark, sf_dir, "events")
+    return spark.table("events").select(F.col("event_id").alias("id"), base26(F.col("event_id")).alias("name"))
 
 
 RESERVED = f"SELECT unnest([{', '.join(f"'{x}'" for x in reserved_names())}]) AS name"

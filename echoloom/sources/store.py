@@ -18,8 +18,9 @@ from echoloom.scratch import remove
 
 LOADED = ("record_id", "kind", "file_path", "signature", "normalized_code", "md5sum", "intent", "start_line", "end_line")
 
-#: A10: selective reads by these columns skip row groups.
+#: A10: selective reads by these columns skip row groups, by their filters and, of md5sum, by the bounds of sorted row groups.
 BLOOM = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("md5sum", "file_path", "intent_status")}
+ROW_GROUP = 16 << 20  #: bytes of a row group: many a file, so that a lookup leaves most unread
 
 
 def run_status(analyzer_errors: Column, failed: Column) -> Column:
@@ -48,8 +49,8 @@ class Persistence(Protocol):
 class RunStore:
     """The two tables below one folder; either is empty until the first run (A10)."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, row_group: int = ROW_GROUP) -> None:
+        self.spark, self.folder, self.row_group = spark, folder.rstrip("/"), row_group
 
     def _there(self, path: str) -> bool:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -66,6 +67,15 @@ class RunStore:
             return self.spark.createDataFrame([], STORED_RECORD)
         return self.spark.read.schema(STORED_RECORD).parquet(path).join(self.runs().select("run_id"), "run_id", "left_semi")
 
+    def find(self, run_id: int, **wanted: str) -> DataFrame:
+        """A10: records of a finished run by ``md5sum``, ``file_path`` or ``intent_status``; the scan skips row groups that cannot hold them."""
+        rows = self.records().where(F.col("run_id") == run_id)
+        for name, value in wanted.items():
+            if name not in ("md5sum", "file_path", "intent_status"):
+                raise ValueError(f"no index on {name}")
+            rows = rows.where(F.col(name) == value)
+        return rows
+
     def load(self, run_id: int) -> DataFrame:
         """An unknown run has no records; partition and kind are pruned in the scan."""
         if self.runs().where(F.col("run_id") == run_id).isEmpty():
@@ -82,7 +92,10 @@ class RunStore:
         if self._there(path):  # left by a writer that failed
             remove(self.spark, path)
         columns = [c.split()[0] for c in STORED_RECORD.split(", ") if c.split()[0] != "run_id"]
-        numbered(records, "file_path", "seq", name="record_id", start=taken + 1).select(*columns).write.options(**BLOOM).parquet(path)
+        placed = numbered(records, "file_path", "seq", name="record_id", start=taken + 1).select(*columns)
+        # Sorted by fingerprint: records of one are neighbours, and each row group has its own range of them.
+        sorted_ = placed.repartitionByRange("md5sum", "record_id").sortWithinPartitions("md5sum", "record_id")
+        sorted_.write.options(**BLOOM, **{"parquet.block.size": str(self.row_group)}).parquet(path)
         counts = self.spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_if(F.col("intent_status") == "failed").alias("failed")).first()
         status = "completed_with_errors" if analyzer_errors or counts["failed"] else "completed"
         finished = datetime.now(timezone.utc).isoformat()

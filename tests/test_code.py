@@ -332,3 +332,49 @@ def test_intermediates_need_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         scratch.shared_dir(Session)
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    """Row groups are sorted by md5sum; a lookup reads few of them, by its bounds or its filter, and gives what a full scan does."""
+    import pyarrow.parquet as pq
+
+    store = RunStore(spark, str(tmp_path / "db"), row_group=64 << 10)
+    code = F.concat(F.sha2(F.col("id").cast("string"), 512), F.sha2((F.col("id") + 1).cast("string"), 512), F.sha2((-F.col("id")).cast("string"), 512))
+    rows = spark.range(20_000).select(F.lit("function").alias("kind"), F.concat(F.lit("p/f"), F.xxhash64("id").cast("string"), F.lit(".py")).alias("file_path"), F.lit(None).cast("string").alias("signature"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), code.alias("raw_code"), code.alias("normalized_code"), F.md5(code).alias("md5sum"), F.lit(None).cast("string").alias("intent"), F.when(F.col("id") == 77, "failed").otherwise("skipped").alias("intent_status"), F.lit(None).cast("string").alias("intent_error"), F.lit(0).alias("seq"))
+    run = store.persist(rows, 0, "/", "u", "m", "all", 10)["run_id"]
+    bounds = []
+    for file in Path(tmp_path / "db/records").rglob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        place = meta.schema.to_arrow_schema().get_field_index("md5sum")
+        bounds += [(meta.row_group(g).column(place).statistics.min, meta.row_group(g).column(place).statistics.max, meta.row_group(g).num_rows) for g in range(meta.num_row_groups)]
+    bounds.sort()
+    assert len(bounds) > 20 and all(a[1] <= b[0] for a, b in zip(bounds, bounds[1:]))
+    one = rows.where("intent_status = 'failed'").first()
+    for wanted in ({"md5sum": one.md5sum}, {"file_path": one.file_path}, {"intent_status": "failed"}):
+        found = store.find(run, **wanted)
+        assert [r.file_path for r in found.collect()] == [one.file_path]
+        assert rows_scanned(found) <= 3 * max(n for _, _, n in bounds), wanted
+    with pytest.raises(ValueError, match="no index"):
+        store.find(run, kind="class")
+
+
+def rows_scanned(frame):
+    """Rows that the scan of record files gave to what stands above it."""
+    frame.collect()
+    plan, waiting, most = frame._jdf.queryExecution().executedPlan(), [], 0
+    waiting.append(plan)
+    while waiting:
+        node = waiting.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            waiting.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            waiting.append(node.plan())
+            continue
+        if name.startswith("Scan parquet") and "file_path" in node.simpleString(1000):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.length())]
+    assert most
+    return most
