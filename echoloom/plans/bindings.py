@@ -102,6 +102,17 @@ def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PART_RECORDS)
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Generated files that one task makes and parses.
+FILES_A_TASK = 2000
+
+
+def spread_parts(spark: SparkSession, sf_dir: str) -> None:
+    """The view ``part``, dealt to tasks by rows: its few bytes would all go to one task, with the parsing of every file made of them."""
     views(spark, sf_dir, "part")
+    rows = spark.table("part")
+    rows.repartition(max(1, -(-rows.count() // FILES_A_TASK)), "p_partkey").createOrReplaceTempView("part")
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spread_parts(spark, sf_dir)
     return spark.sql(SOURCES).select("file_path", "content")

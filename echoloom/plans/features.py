@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echoloom.plans.bindings import KEY, views
+from echoloom.plans.bindings import KEY, spread_parts
 
 BEFORE = """# features
 import os
@@ -124,7 +124,7 @@ SOURCES = f"SELECT {PATH} AS file_path, {_spelled(BEFORE)} AS content FROM part"
 
 
 def feature_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir, "part")
+    spread_parts(spark, sf_dir)
     return spark.sql(SOURCES.replace("\n", "\\n").replace("''", "\\'"))
 
 
