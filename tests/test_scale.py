@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from echoloom.operators.symbols import project_index, symbol_rows
+from echoloom.operators.rewrite import rewrite_files
+from echoloom.operators.symbols import project_index, rename_map, symbol_rows
 from echoloom.plans import features
 from echoloom.plans.bindings import FILES_A_TASK, sources
+from echoloom.scratch import stored
 
 
 def parts(spark, folder, n):
@@ -26,3 +28,12 @@ def test_an_index_parses_each_file_once(spark, tmp_path):
     index = project_index(symbol_rows(sources(spark, path), ["src", "parts"]))
     assert index._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
     assert ("external", "os") in {tuple(r) for r in index.collect()}
+
+
+def test_what_grows_with_the_names_of_a_project_is_not_broadcast(spark, tmp_path):
+    """Plans at a size where every side would be small enough to be gathered in the driver."""
+    path = parts(spark, tmp_path, 60)
+    index = stored(project_index(symbol_rows(sources(spark, path), ["src", "parts"])), "index")
+    mapped = stored(rename_map(index), "map")
+    tree = rewrite_files(sources(spark, path), index, mapped)._jdf.queryExecution().sparkPlan().toString()
+    assert tree.count("SortMergeJoin") == 5 and "BroadcastHashJoin" not in tree
