@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from echoloom.operators.duplicates import edge_counts
 from echoloom.operators.rewrite import rewrite_files
 from echoloom.operators.symbols import project_index, rename_map, symbol_rows
 from echoloom.plans import features
@@ -37,3 +38,10 @@ def test_what_grows_with_the_names_of_a_project_is_not_broadcast(spark, tmp_path
     mapped = stored(rename_map(index), "map")
     tree = rewrite_files(sources(spark, path), index, mapped)._jdf.queryExecution().sparkPlan().toString()
     assert tree.count("SortMergeJoin") == 5 and "BroadcastHashJoin" not in tree
+
+
+def test_counts_at_many_thresholds_take_one_comparison(spark):
+    rows = [(1, i, x) for i, x in enumerate(["abcd", "abcd", "abcd", "abce", "wxyz", None])] + [(2, 9, "abcd")]
+    counts = edge_counts(spark.createDataFrame(rows, "run_id long, record_id long, text string"), F.col("text"), (0.5, 0.75, 1.0))
+    assert {r.threshold: r.pairs for r in counts.collect()} == {0.5: 6, 0.75: 6, 1.0: 3}
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
