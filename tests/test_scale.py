@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from echoloom.operators.duplicates import edge_counts
 from echoloom.operators.rewrite import rewrite_files
+from echoloom.operators.similar_pairs import similar_pairs
 from echoloom.operators.symbols import project_index, rename_map, symbol_rows
 from echoloom.plans import features
 from echoloom.plans.bindings import FILES_A_TASK, sources
@@ -45,3 +46,8 @@ def test_counts_at_many_thresholds_take_one_comparison(spark):
     counts = edge_counts(spark.createDataFrame(rows, "run_id long, record_id long, text string"), F.col("text"), (0.5, 0.75, 1.0))
     assert {r.threshold: r.pairs for r in counts.collect()} == {0.5: 6, 0.75: 6, 1.0: 3}
     assert counts._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_blocks_of_short_texts_stay_in_many_tasks(spark):
+    texts = spark.range(400).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("record_id"), F.lpad(F.col("id").cast("string"), 12, "a").alias("text"))
+    assert similar_pairs(texts, 0.5, 20).select(F.spark_partition_id()).distinct().count() > 4
