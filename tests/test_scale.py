@@ -51,3 +51,8 @@ def test_counts_at_many_thresholds_take_one_comparison(spark):
 def test_blocks_of_short_texts_stay_in_many_tasks(spark):
     texts = spark.range(400).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("record_id"), F.lpad(F.col("id").cast("string"), 12, "a").alias("text"))
     assert similar_pairs(texts, 0.5, 20).select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_long_texts_are_dealt_to_many_tasks(spark):
+    texts = spark.range(60).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("record_id"), F.concat(F.repeat(F.lit("some words of a long text "), 1000), "id").alias("text"))
+    assert similar_pairs(texts, 0.7).select(F.spark_partition_id()).distinct().count() > 4
