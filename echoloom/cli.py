@@ -105,7 +105,7 @@ def _asked(args: argparse.Namespace, records: Callable[[], tuple[DataFrame, Data
             out.flush()
 
     done = enriched_once(built, client(args), scopes, log, f"{args.provider_url} {args.model}", args.enricher_workers, args.progress_batch_size, tell, ("file_path", "seq"))
-    return done.drop("elapsed"), errors
+    return stored(done.drop("elapsed"), "enriched"), errors
 
 
 def _client(args: argparse.Namespace) -> Callable[[], Client]:

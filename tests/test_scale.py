@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from echoloom.operators import enrich
 from echoloom.operators.duplicates import edge_counts
 from echoloom.operators.rewrite import rewrite_files
 from echoloom.operators.similar_pairs import similar_pairs
@@ -56,3 +57,24 @@ def test_blocks_of_short_texts_stay_in_many_tasks(spark):
 def test_long_texts_are_dealt_to_many_tasks(spark):
     texts = spark.range(60).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("record_id"), F.concat(F.repeat(F.lit("some words of a long text "), 1000), "id").alias("text"))
     assert similar_pairs(texts, 0.7).select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_long_input_is_asked_about_in_turns(spark, monkeypatch):
+    """A task takes a bounded share of the text, and only code goes to Python."""
+    monkeypatch.setattr(enrich, "CHARACTERS_A_TASK", 1000)
+    rows = spark.range(500).select(F.when(F.col("id") % 5 > 0, "function").otherwise("file").alias("kind"), F.concat(F.lit("some code "), "id").alias("raw_code"))
+    full = rows.withColumns({c: F.lit(None).cast("string") for c in ("intent", "intent_error")} | {"intent_status": F.lit("skipped")})
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = enrich.enriched(full, lambda: enrich.OfflineClient("9"), ["function"], 2)
+    assert len(out.inputFiles()) > 4 + 2 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    want = {(f"some code {i}", None if i % 5 == 0 or "9" in str(i) else f"intent::{len(str(i)) + 10}", "skipped" if i % 5 == 0 else "failed" if "9" in str(i) else "success") for i in range(500)}
+    got = [(r.raw_code, r.intent, r.intent_status) for r in out.collect()]
+    assert len(got) == 500 and set(got) == want
+
+
+def test_answers_are_joined_without_moving_code(spark, tmp_path):
+    rows = spark.range(50).select(F.lit("class").alias("kind"), F.concat(F.lit("some code "), "id").alias("raw_code"), "id", F.lit("skipped").alias("intent_status"))
+    full = rows.withColumns({c: F.lit(None).cast("string") for c in ("intent", "intent_error")})
+    out = enrich.enriched_once(full, enrich.OfflineClient, ["class"], str(tmp_path / "log"), "x", per_part=20).select("id", "intent")
+    tree = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in tree and "normalized" not in tree and out.count() == 50
