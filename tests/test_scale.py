@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from echoloom.operators import enrich
 from echoloom.operators.duplicates import edge_counts
 from echoloom.operators.rewrite import rewrite_files
-from echoloom.operators.similar_pairs import similar_pairs
+from echoloom.operators.similar_pairs import _blocks, similar_pairs
 from echoloom.operators.symbols import project_index, rename_map, symbol_rows
 from echoloom.plans import features
 from echoloom.plans.bindings import FILES_A_TASK, sources
@@ -54,6 +54,16 @@ def test_blocks_of_short_texts_stay_in_many_tasks(spark):
     assert similar_pairs(texts, 0.5, 20).select(F.spark_partition_id()).distinct().count() > 4
 
 
+def test_blocks_of_short_texts_grow_with_their_number(spark):
+    """A text is sent to at most 16 blocks until blocks are eight times as large, not to one for each ``block`` texts; neighbours stay together."""
+    texts = spark.range(400).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("record_id"), F.lpad(F.col("id").cast("string"), 12, "a").alias("text"), F.lit(1).alias("weight"))
+    sent = _blocks(texts, 0.5, 5)
+    assert sent.count() == 400 * 16
+    own = {frozenset(r.ids) for r in sent.where("split(key, '/')[0] = split(key, '/')[1]").groupBy("key").agg(F.collect_set("record_id").alias("ids")).collect()}
+    ranked = sorted(range(400), key=lambda i: str(i).rjust(12, "a"))
+    assert own == {frozenset(ranked[i : i + 25]) for i in range(0, 400, 25)}
+
+
 def test_long_texts_are_dealt_to_many_tasks(spark):
     texts = spark.range(60).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("record_id"), F.concat(F.repeat(F.lit("some words of a long text "), 1000), "id").alias("text"))
     assert similar_pairs(texts, 0.7).select(F.spark_partition_id()).distinct().count() > 4
