@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from echoloom.functions.similarity import indel_ratio
 from echoloom.operators import enrich
+from echoloom.operators.components import connected_components
 from echoloom.operators.duplicates import edge_counts
 from echoloom.operators.rewrite import rewrite_files
-from echoloom.operators.similar_pairs import _blocks, similar_pairs
+from echoloom.operators.similar_pairs import MARKED, SUM, TIE, _blocks, pair_sums, similar_pairs
 from echoloom.operators.symbols import project_index, rename_map, symbol_rows
 from echoloom.plans import features
 from echoloom.plans.bindings import FILES_A_TASK, sources
@@ -54,6 +56,25 @@ def test_blocks_of_short_texts_stay_in_many_tasks(spark):
     assert similar_pairs(texts, 0.5, 20).select(F.spark_partition_id()).distinct().count() > 4
 
 
+def test_pairs_are_summed_where_they_are_found(spark):
+    """200 texts that are all alike make 19,900 pairs, but a few rows a text; sums are those of all pairs, long texts and weights included."""
+    words = [f"{'ab' * (40 * (i % 2))}some words {i:03}" for i in range(200)]
+    rows = [(1, i, x, i % 3 + 1, i in (3, 5, 8)) for i, x in enumerate(words)]
+    frame = spark.createDataFrame(rows, "run_id long, record_id long, text string, weight int, mark boolean")
+    got = pair_sums(frame, 0.7, 100).collect()
+    near = {(i, j): indel_ratio(words[i], words[j]) for i in range(200) for j in range(i) if indel_ratio(words[i], words[j]) >= 0.7}
+    assert len(near) > 9000 and len(got) < 200 * 6
+    assert {(r.left_id, r.right_id) for r in got if r.what == MARKED} == {(j, i) for i, j in near if {i, j} <= {3, 5, 8}}
+    for i in range(200):
+        mine = [(q, rows[sum(k) - i][3]) for k, q in near.items() if i in k]
+        sums = [r for r in got if r.what == SUM and r.left_id == i]
+        assert max(r.best for r in sums) == max(q for q, _ in mine) and sum(r.met for r in sums) == sum(w for _, w in mine)
+        assert abs(sum(r.total for r in sums) - sum(q * w for q, w in mine)) < 1e-9
+    edges = spark.createDataFrame(list(near), "left_id long, right_id long")
+    ties = spark.createDataFrame([(r.left_id, r.right_id) for r in got if r.what == TIE], "left_id long, right_id long")
+    assert {tuple(r) for r in connected_components(ties).collect()} == {tuple(r) for r in connected_components(edges).collect()}
+
+
 def test_blocks_of_short_texts_grow_with_their_number(spark):
     """A text is sent to at most 16 blocks until blocks are eight times as large, not to one for each ``block`` texts; neighbours stay together."""
     texts = spark.range(400).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("record_id"), F.lpad(F.col("id").cast("string"), 12, "a").alias("text"), F.lit(1).alias("weight"))
