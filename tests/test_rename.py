@@ -3,8 +3,10 @@
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from echoloom import cli
+from echoloom.operators import rewrite
 from echoloom.operators.extract import split_symbols, tagged_symbols
 from echoloom.operators.rewrite import Names, RewriteError, most_imports, rewrite_files, rewritten
 from echoloom.operators.symbols import alphabetic, base26, facts_of, module_roots, project_index, rename_map, reserved_names, symbol_rows
@@ -108,6 +110,26 @@ def test_files_get_what_they_hold(spark):
             assert r.unchanged == (r.transformed_source == texts[r.file_path])
 
 
+def test_names_that_recur_go_to_tasks_once(spark, monkeypatch):
+    """The same rewrite whether names are sent with each file or, if they are in many files, told to every task."""
+    files = spark.createDataFrame([(f"m/f{i}.py", f"import os\nclass Own{i}:\n    def size(self, other):\n        return other.size + a(size={i})\na = Own{i}()\n") for i in range(30)], "file_path string, content string")
+    index = project_index(symbol_rows(files, ["m"]))
+    mapped = rename_map(index)
+    usual = rewrite.common_words(files)
+    assert {"os", "size", "self", "other", "a"} <= usual and not any(x.startswith("Own") for x in usual)
+    assert {r["name"] for r in rewrite.rows_of(index, mapped, usual)} >= {"os", "size", "self", "other", "a"}
+    told = sorted(map(tuple, rewrite_files(files, index, mapped).collect()))
+    monkeypatch.setattr(rewrite, "MOST_COMMON", 0)
+    assert rewrite.common_words(files) == set() and sorted(map(tuple, rewrite_files(files, index, mapped).collect())) == told
+
+
+def test_names_of_very_large_numbers(spark):
+    """Numbers beyond 2**53 are not rounded."""
+    numbers = [0, 25, 26, 701, 702, 2**53 + 1, 2**62 + 12345, 2**63 - 1]
+    got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", base26(F.col("n")).alias("s")).collect()
+    assert {r.n: r.s for r in got} == {n: alphabetic(n) for n in numbers}
+
+
 def test_obfuscate_command(spark, tmp_path):
     src = tmp_path / "in"
     (src / "pkg").mkdir(parents=True)
